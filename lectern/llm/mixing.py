@@ -77,12 +77,12 @@ class Mixture:
         return self.schedule().join(pieces, ["source", "block_no"]).select("slot", "source", "doc_id", "pass_no", "start", "tokens")
 
     def report(self, records: DataFrame | None = None) -> DataFrame:
-        """One row per listed source: its target share, the share reached, tokens and documents used, passes, and whether the target was met within a block or a thousandth."""
+        """One row per listed source: its target share, the share reached, tokens and documents used, passes, and whether the target was met within two blocks, two thousandths or a thirtieth."""
         records = self.records() if records is None else records
         got = records.groupBy("source").agg(F.sum("tokens").alias("tokens"), (F.max("pass_no") + 1).alias("passes"))
         listed = self.spark.createDataFrame([(s, self.share[s], self.most[s], self.supply[s]) for s in self.share], "source string, target_share double, max_repeats int, source_tokens long")
         all_tokens = got.agg(F.sum("tokens").alias("all_tokens"))
         out = listed.join(got, "source", "left").join(F.broadcast(all_tokens))  # one row
         reached = F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0))
-        met = F.abs(reached - F.col("target_share")) <= F.greatest(F.lit(0.001), 2.0 * self.block / F.col("all_tokens"), F.col("target_share") * 0.03)
+        met = F.abs(reached - F.col("target_share")) <= F.greatest(F.lit(0.002), 2.0 * self.block / F.col("all_tokens"), F.col("target_share") * 0.03)
         return out.select("source", F.round("target_share", 6).alias("target_share"), F.round(reached, 6).alias("reached_share"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), "source_tokens", F.coalesce("passes", F.lit(0)).alias("passes"), "max_repeats", F.when(met, "met").when(F.col("source_tokens") == 0, "no documents").when(reached < F.col("target_share"), "short").otherwise("over").alias("status"))
