@@ -11,6 +11,7 @@ beyond ``cutoff``; a page is spam if outliers make up more than half of its text
 
 from __future__ import annotations
 
+import html
 import math
 import re
 from collections import Counter
@@ -37,7 +38,7 @@ _LINK = re.compile(r"<a\b[^>]*>.*?</a>|\[url=[^\]]*\].*?\[/url\]|\[[^\]\n]{0,200
 _TAG = re.compile(r"#\w[\w-]*|\bSKU[-\s]?\w+|(?:(?:from|ab|desde)\s)?(?:\$|€|£|EUR|USD|R\$)\s?\d+(?:[.,]\d+)?|\(\d{1,4}\)", re.I)
 _ODD = re.compile(r"\b(?:\w-){3,}\w\b|\b\w*[^\W\d_][@0134$][^\W\d_]\w*\b|\b\w*[@$][^\W\d_]\w*|\b\w+_\w+(?:\+[\w ]+)?|\b[^\W\d_][@013][^\W\d_]?\w*\b|[»›]")
 _REFERENCE = re.compile(r"\b\d+:\d+(?:-\d+)?\b")
-_MARKUP = re.compile(r"<[^<>]{1,80}>|&[a-zA-Z]{2,8};|&#\d{1,6};")
+_MARKUP = re.compile(r"<(?!/?a\b)[^<>]{1,80}>", re.I)
 _PIECE = re.compile(r"\S+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 #: Private characters that stand for what was found.
@@ -55,7 +56,8 @@ def language(lang: str | None, words: list[str]) -> str:
 
 def stretches(text: str, lang: str | None) -> tuple[str, list[tuple[int, list[float]]]]:
     """The language, and (characters, features) of each stretch of about WORDS words."""
-    plain = _MARKUP.sub(lambda m: m[0] if m[0][:2].lower() in ("<a", "</") and m[0].lower().strip("</ >")[:1] == "a" else " ", text)
+    plain = html.unescape(html.unescape(text)) if "&" in text else text
+    plain = _MARKUP.sub(" ", plain)
     # links, tags and disguised words are marked by one private character each and counted by their length
     sizes: list[int] = []
 
@@ -90,6 +92,9 @@ def stretches(text: str, lang: str | None) -> tuple[str, list[tuple[int, list[fl
                 n_ref += p == REFERENCE
                 continue
             total += len(p) + 1
+            if p == "&":
+                function += 1
+                continue
             for w in _WORD.findall(p.casefold()):
                 if w in known:
                     function += 1
@@ -117,7 +122,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 #: Smallest scale of each feature: most stretches have none of it, so the median deviation may be zero.
-LEAST_SCALE = {"links": 0.05, "tags": 0.05, "odd": 0.05, "bare": 0.05, "repeated": 0.05, "flat": 0.02}
+LEAST_SCALE = {"links": 0.08, "tags": 0.05, "odd": 0.05, "bare": 0.055, "repeated": 0.1, "flat": 0.12}
 
 
 def spam_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", cutoff: float = 4.5) -> DataFrame:
