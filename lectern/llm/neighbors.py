@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.runtime import materialize
+from lectern.runtime import by_size, materialize
 
 #: Vectors collected to learn the mean and the rotations.
 SAMPLE = 20_000
 #: A bucket above this many codes is compared in pairs of chunks, each pair its own task group.
 CHUNK = 2_048
+#: Tables of exceptions (hot buckets, copies) are broadcast up to so many rows, joined by shuffle beyond.
+BROADCAST = 200_000
 
 
 def index_shape(n: int, recall: float, recall_at: float) -> tuple[int, int]:
@@ -87,7 +89,7 @@ def _codes(mean: np.ndarray, rotation: np.ndarray, bits: int, tables: int, count
 
 
 def _meet(bits: int, tables: int, radius: int):
-    """Over rows sorted by (key, ci, cj): the pairs of one bucket, or of two chunks of one, within the radius; each pair only in the first substring it agrees in."""
+    """Over rows sorted by g (bucket, two chunks, side): the pairs of one bucket, or of two chunks of one, within the radius; each pair only in the first substring it agrees in."""
 
     def pairs(key: int, rid: np.ndarray, sub: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         word = sub.view(np.uint64) if sub.shape[1] % 4 == 0 else np.ascontiguousarray(np.pad(sub, ((0, 0), (0, -sub.shape[1] % 4)))).view(np.uint64)
@@ -131,9 +133,9 @@ def _meet(bits: int, tables: int, radius: int):
                 continue
             code = batch.column("code")
             sub = np.frombuffer(b"".join(code.to_pylist()), dtype=np.uint16).reshape(-1, tables)
-            group = (batch.column("key").to_numpy() << 32) + (batch.column("ci").to_numpy().astype(np.int64) << 16) + batch.column("cj").to_numpy()
-            rest.append((batch.column("key").to_numpy(), group, batch.column("rid").to_numpy(), sub, batch.column("side").to_numpy()))
-            if rest[0][1][0] != group[-1]:
+            g = batch.column("g").to_numpy()
+            rest.append((g >> 34, g >> 2, batch.column("rid").to_numpy(), sub, (g & 3) - 1))
+            if rest[0][1][0] != g[-1] >> 2:
                 cols = tuple(np.concatenate(x) for x in zip(*rest, strict=True))
                 end = int(np.flatnonzero(cols[1] != cols[1][-1])[-1]) + 1
                 rest = [tuple(x[end:] for x in cols)]
@@ -178,6 +180,10 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str, dim: int, latest:
     return kept.where(F.col("id").isNotNull() & ok).groupBy("id").agg(F.max(F.struct("at", F.col("v").cast("array<float>").alias("v"))).alias("x")).select("id", "x.v")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if by_size(df, BROADCAST) else df
+
+
 def most_similar(
     df: DataFrame, id_col: str = "id", vector_col: str = "values", k: int = 5, min_cosine: float = 0.8, dim: int = 96, latest: str | None = None, recall: float = 0.93, recall_at: float = 0.86, sample: int = SAMPLE
 ) -> DataFrame:
@@ -191,41 +197,42 @@ def most_similar(
     design: at ``recall_at`` and above a pair is found with probability ``recall`` at least.
     """
     spark = df.sparkSession
-    rows = valid_vectors(df, id_col, vector_col, dim, latest).mapInArrow(_unit(dim), "id string, near binary, v array<float>").withColumn("near", F.unhex(F.md5("near")))
-    rows = materialize(rows)
-    classes = rows.groupBy("near").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    reps = materialize(rows.join(classes.select("id", "copies"), "id").select("id", "near", "v", "copies").withColumn("rid", F.monotonically_increasing_id()))
-    n = reps.count()
-    some = np.array([r["v"] for r in reps.select("v").orderBy(F.xxhash64("id"), "id").limit(sample).collect()], dtype=np.float32).reshape(-1, dim)
+    unit = valid_vectors(df, id_col, vector_col, dim, latest).mapInArrow(_unit(dim), "id string, near binary, v array<float>")
+    rows = materialize(unit.withColumn("near", F.unhex(F.md5("near"))).withColumn("rid", F.monotonically_increasing_id()))
+    classes = rows.groupBy("near").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    members = materialize(rows.select("near", "rid", "id").join(classes.select("near", "rep"), "near").select("rid", "id", "rep"))
+    vectors = rows.select("rid", "v").join(_small(members.where("rid <> rep").select("rid")), "rid", "left_anti")
+    n = rows.count()
+    some = np.array([r["v"] for r in rows.select("v").orderBy(F.xxhash64("id"), "id").limit(sample).collect()], dtype=np.float32).reshape(-1, dim)
     bits, tables = index_shape(n, recall, recall_at)
     mean, rotation = learn_rotations(some, bits * tables)
     theta = math.acos(min_cosine) / math.pi
     radius = round(bits * tables * theta + 2.3 * math.sqrt(bits * tables * theta * (1 - theta)))
 
-    vectors = reps.select("rid", "v")
     counts = vectors.mapInArrow(_codes(mean, rotation, bits, tables, True), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    hot = counts.where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    codes = vectors.mapInArrow(_codes(mean, rotation, bits, tables, False), "key long, rid long, code binary")
-    codes = codes.join(hot, "key", "left").withColumn("c", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("rid"), F.col("chunks"))).cast("int"))
-    alone = codes.where("chunks is null").select("key", "rid", "code", F.lit(0).alias("ci"), F.lit(0).alias("cj"), F.lit(0).alias("side"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("x")
-    split = codes.where("chunks is not null").select("key", "rid", "code", "c", other)
-    split = split.select("key", "rid", "code", F.least("c", "x").alias("ci"), F.greatest("c", "x").alias("cj"), F.when(F.col("c") == F.col("x"), 0).when(F.col("c") < F.col("x"), -1).otherwise(1).alias("side"))
-    buckets = alone.union(split).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "ci", "cj").sortWithinPartitions("key", "ci", "cj")
+    hot = materialize(counts.where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
+    codes = vectors.mapInArrow(_codes(mean, rotation, bits, tables, False), "key long, rid long, code binary").join(_small(hot), "key", "left")
+    # one number holds bucket, chunks and side, so that little more than the codes is shuffled
+    group = lambda i, j, side: F.shiftleft("key", 34) + F.shiftleft(i.cast("long"), 18) + F.shiftleft(j.cast("long"), 2) + side
+    own, x = F.pmod(F.xxhash64("rid"), F.col("chunks")), F.col("x")
+    split = codes.withColumn("x", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
+    side = F.when(own == x, 1).when(own < x, 0).otherwise(2)
+    g = F.when(F.col("chunks").isNull(), group(F.lit(0), F.lit(0), F.lit(1))).otherwise(group(F.least(own, x), F.greatest(own, x), side))
+    buckets = split.select(g.alias("g"), "rid", "code").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.shiftright("g", 2)).sortWithinPartitions("g")
     pairs = buckets.mapInArrow(_meet(bits, tables, radius), "a long, b long")
     first = pairs.join(vectors.select(F.col("rid").alias("a"), F.col("v").alias("va")), "a")
     scored = first.join(vectors.select(F.col("rid").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", "va", "vb").mapInArrow(_cosine(dim, min_cosine), "a long, b long, cosine double")
     scored = materialize(scored)
 
-    # at most k + 1 ids of a class can matter to any one member of another class
-    names = rows.select("near", "id").join(reps.where("copies > 1").select("near", "rid"), "near").select("rid", "id")
-    few = names.withColumn("r", F.row_number().over(Window.partitionBy("rid").orderBy("id"))).where(F.col("r") <= k + 1).select("rid", "id")
-    alone_id = reps.where("copies = 1").select("rid", "id")
     both = scored.select("a", "b", "cosine").union(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     near = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("r") <= k).select("a", "b", "cosine")
-    targets = alone_id.union(few).select(F.col("rid").alias("b"), F.col("id").alias("other"))
-    across = near.join(targets, "b").select("a", "other", "cosine").join(alone_id.union(names).select(F.col("rid").alias("a"), "id"), "a").select("id", "other", "cosine")
-    copies = names.join(few.select("rid", F.col("id").alias("other")), "rid").where("id <> other").select("id", "other", F.lit(1.0).alias("cosine"))
+    # at most k + 1 ids of a class can matter to any one record
+    few = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).select("rep", "id")
+    single = rows.select("rid", "id").join(_small(members.select("rid")), "rid", "left_anti")
+    targets = single.select(F.col("rid").alias("b"), F.col("id").alias("other")).union(few.select(F.col("rep").alias("b"), F.col("id").alias("other")))
+    owners = single.select(F.col("rid").alias("a"), "id").union(members.select(F.col("rep").alias("a"), "id"))
+    across = near.join(targets, "b").select("a", "other", "cosine").join(owners, "a").select("id", "other", "cosine")
+    copies = members.join(few.select("rep", F.col("id").alias("other")), "rep").where("id <> other").select("id", "other", F.lit(1.0).alias("cosine"))
     w = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return across.union(copies).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "other", "cosine")
 
