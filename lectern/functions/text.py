@@ -88,7 +88,7 @@ def tsv_field(text: Column | str, newlines: bool = True) -> Column:
 
 
 def scored_label(reference: Column | str, score: Column | str, in_both: Column | str) -> Column:
-    return F.format_string("%s (%.4f)%s", _c(reference), _c(score), F.when(_c(in_both), " [BOTH]").otherwise(""))
+    return F.format_string("%s (%.4f)%s", _c(reference), F.round(_c(score), 4), F.when(_c(in_both), " [BOTH]").otherwise(""))
 
 
 def docs_block(documents: Column | str) -> Column:
