@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,16 +52,24 @@ class Trie:
     def __init__(self, entries: list[tuple[int, str]]):
         self.root: dict = {}
         self.sorted: dict[tuple[str, ...], int] = {}
+        self.letters: dict[str, int] = {}
+        words: list[str] = []
         for i, text in sorted(entries, key=lambda e: (e[0], e[1])):
-            words = tokens(text)
-            word = "".join(words)
+            parts = tokens(text)
+            word = "".join(parts)
             if not word:
                 continue
             self._add(word, i, len(word))
-            bare = "".join(skeleton(w) for w in words)
+            words.append(word)
+            bare = "".join(skeleton(w) for w in parts)
             if len(bare) > 4 and len(bare) < len(word):
                 self._add(bare, i, 0)
-            self.sorted.setdefault(tuple(sorted(words)), i)
+                words.append(bare)
+            self.sorted.setdefault(tuple(sorted(parts)), i)
+        for c in sorted({c for w in words for c in w}):
+            self.letters[c] = len(self.letters)
+        self.bags = np.array([self._bag(w) for w in words], dtype=np.int16).reshape(len(words), len(self.letters) + 1)
+        self.slack = np.array([max(allowed(len(w)), 0) for w in words])
 
     def _add(self, word: str, i: int, length: int) -> None:
         node = self.root
@@ -68,25 +77,43 @@ class Trie:
             node = node.setdefault(c, {})
         node.setdefault("", (i, allowed(length), word))
 
+    def _bag(self, word: str) -> list[int]:
+        bag = [0] * (len(self.letters) + 1)
+        for c in word:
+            bag[self.letters.get(c, -1)] += 1
+        return bag
+
+    def may_match(self, word: str) -> bool:
+        """Whether the letters of ``word``, in whatever order, are near enough to any entry's; no edit changes more than one letter."""
+        if not len(self.bags):
+            return False
+        d = np.array(self._bag(word), dtype=np.int16) - self.bags
+        return bool((np.maximum(np.where(d > 0, d, 0).sum(1), np.where(d < 0, -d, 0).sum(1)) <= self.slack).any())
+
     def within(self, word: str) -> list[tuple[int, float, int]]:
         """(distance, distance a letter, id) of all entries whose allowed distance covers ``word``."""
         found: list[tuple[int, float, int]] = []
-        stack = [(self.root, "", list(range(len(word) + 1)), None)]
+        n, far = len(word), 1 << 20
+        # a row holds the distances to the prefixes of ``word`` whose length is within 3 of the depth
+        stack = [(self.root, "", 0, {k: k for k in range(min(n, 3) + 1)}, {})]
         while stack:
-            node, last, row, before = stack.pop()
-            if (end := node.get("")) and row[-1] <= end[1]:
-                found.append((row[-1], row[-1] / len(end[2]), end[0]))
+            node, last, depth, row, before = stack.pop()
+            if (end := node.get("")) and row.get(n, far) <= end[1]:
+                found.append((row[n], row[n] / len(end[2]), end[0]))
             for c, child in node.items():
                 if not c:
                     continue
-                new = [row[0] + 1]
-                for k in range(1, len(word) + 1):
-                    d = min(new[k - 1] + 1, row[k] + 1, row[k - 1] + (word[k - 1] != c))
-                    if before and k > 1 and word[k - 1] == last and word[k - 2] == c:
-                        d = min(d, before[k - 2] + 1)
-                    new.append(d)
-                if min(new) <= 3 or min(row) <= 2:
-                    stack.append((child, c, new, row))
+                new: dict[int, int] = {}
+                for k in range(max(0, depth - 2), min(n, depth + 4) + 1):
+                    d = row.get(k, far) + 1
+                    if k:
+                        d = min(d, new.get(k - 1, far) + 1, row.get(k - 1, far) + (word[k - 1] != c))
+                        if k > 1 and depth and word[k - 1] == last and word[k - 2] == c:
+                            d = min(d, before.get(k - 2, far) + 1)
+                    if d <= 3:
+                        new[k] = d
+                if new or any(v <= 2 for v in row.values()):
+                    stack.append((child, c, depth + 1, new, row))
         return found
 
     def completions(self, word: str) -> set[int]:
@@ -133,18 +160,26 @@ def _readings(raw: str) -> list[list[str]]:
 
 
 def match(trie: Trie, raw: str) -> tuple[int, float]:
-    """(id, distance a letter), or (0, 1.0): the closest entry of the first reading that has one."""
-    for words in _readings(raw):
+    """(id, distance a letter), or (0, 1.0): an entry that a reading equals up to word order, else the closest entry of the first reading that has one."""
+    readings = _readings(raw)
+    for words in readings:
         if i := trie.sorted.get(tuple(sorted(words))):
             return i, 0.0
+    for words in readings:
         if sum(map(len, words)) > 48:
             continue
         orders = itertools.permutations(words) if 1 < len(words) <= 4 else [words]
         best: list[tuple[float, int, int]] = []
+        hope: dict[str, bool] = {}  # by letters: all orders of the same words share it
         for order in dict.fromkeys(["".join(words), *("".join(o) for o in orders)]):
             forms = [order]
             if any(c.isdigit() for c in order) and sum(c.isdigit() for c in order) * 3 <= len(order):
                 forms.append(order.translate(_DIGITS))
+            letters = "".join(sorted(order))
+            if letters not in hope:
+                hope[letters] = any(trie.may_match(f) for f in forms)
+            if not hope[letters]:
+                continue
             for form in forms:
                 best += [(ratio, d, i) for d, ratio, i in trie.within(form)]
             if any(b[1] == 0 for b in best):
@@ -167,6 +202,7 @@ def match_values(values: DataFrame, value_col: str, reference: DataFrame, id_col
     closest of all tries is taken, so its size isn't bounded by what one task can hold.
     """
     distinct = values.select(F.col(value_col).cast("string").alias("value")).where(F.length(F.trim("value")) > 0).distinct()
+    distinct = distinct.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a value costs far more than its bytes tell
     names = reference.select(F.col(id_col).cast("long").alias("i"), F.explode(F.concat(F.array(F.col(name_col).cast("string")), F.coalesce(F.col(aliases_col).cast("array<string>"), F.array().cast("array<string>")))).alias("s")).where("i is not null and s is not null")
     results, after = None, None
     while True:
