@@ -1,7 +1,8 @@
 """The k most similar vectors of every vector, by multi-index hashing.
 
-Unit vectors are centred and turned by several learned rotations (iterative
-quantization on a bounded sample); the signs are the code. A code is cut into short
+Unit vectors are turned by several learned rotations (iterative quantization on a
+bounded sample); the signs are the code. They aren't centred: a large group of alike vectors
+would pull the mean to itself and lose its own angles. A code is cut into short
 substrings, each the key of one index. Codes that agree in a substring meet in its
 bucket; there the Hamming distance of the whole codes is taken, and pairs within the
 radius are reranked with the floats. With m substrings every code within m - 1 bits is
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lectern.runtime import by_size, materialize
 
-#: Vectors collected to learn the mean and the rotations.
+#: Vectors collected to learn the rotations.
 SAMPLE = 20_000
 #: A bucket above this many codes is compared in pairs of chunks, each pair its own task group.
 CHUNK = 2_048
@@ -37,11 +38,9 @@ def index_shape(n: int, recall: float, recall_at: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
-def learn_rotations(sample: np.ndarray, bits: int, rounds: int = 15, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """The mean and a (dim, bits) projection: as many independently started rotations, side by side, as ``bits`` needs."""
-    dim = sample.shape[1]
-    mean = sample.mean(0) if len(sample) else np.zeros(dim)
-    x = (sample - mean).astype(np.float32)
+def learn_rotations(sample: np.ndarray, bits: int, rounds: int = 15, seed: int = 11) -> np.ndarray:
+    """A (dim, bits) projection: as many independently started rotations, side by side, as ``bits`` needs."""
+    dim, x = sample.shape[1], sample.astype(np.float32)
     rng, parts = np.random.default_rng(seed), []
     while sum(p.shape[1] for p in parts) < bits:
         r = np.linalg.qr(rng.standard_normal((dim, dim)))[0].astype(np.float32)
@@ -49,7 +48,7 @@ def learn_rotations(sample: np.ndarray, bits: int, rounds: int = 15, seed: int =
             u, _, vt = np.linalg.svd(np.sign(x @ r).T @ x)
             r = (u @ vt).T.astype(np.float32)
         parts.append(r)
-    return mean.astype(np.float32), np.concatenate(parts, 1)[:, :bits]
+    return np.concatenate(parts, 1)[:, :bits]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -58,12 +57,12 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _codes(mean: np.ndarray, rotation: np.ndarray, bits: int, tables: int, counts_only: bool):
-    dim, weight = len(mean), (1 << np.arange(bits)).astype(np.int64)
+def _codes(rotation: np.ndarray, bits: int, tables: int, counts_only: bool):
+    dim, weight = len(rotation), (1 << np.arange(bits)).astype(np.int64)
 
     def subs(batch: pa.RecordBatch) -> np.ndarray:
         x = _matrix(batch.column("v"), dim)
-        b = ((x - mean) @ rotation > 0).reshape(len(x), tables, bits)
+        b = (x @ rotation > 0).reshape(len(x), tables, bits)
         return (b @ weight).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,15 +202,18 @@ def most_similar(
     members = materialize(rows.select("near", "rid", "id").join(classes.select("near", "rep"), "near").select("rid", "id", "rep"))
     vectors = rows.select("rid", "v").join(_small(members.where("rid <> rep").select("rid")), "rid", "left_anti")
     n = rows.count()
-    some = np.array([r["v"] for r in rows.select("v").orderBy(F.xxhash64("id"), "id").limit(sample).collect()], dtype=np.float32).reshape(-1, dim)
+    # a hash picks a few more than wanted before any is sorted or sent
+    share = min(1.0, 1.3 * sample / max(n, 1) + 1e-6)
+    few = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000)))
+    some = np.array([r["v"] for r in few.orderBy(F.xxhash64("id"), "id").select("v").limit(sample).collect()], dtype=np.float32).reshape(-1, dim)
     bits, tables = index_shape(n, recall, recall_at)
-    mean, rotation = learn_rotations(some, bits * tables)
+    rotation = learn_rotations(some, bits * tables)
     theta = math.acos(min_cosine) / math.pi
     radius = round(bits * tables * theta + 2.3 * math.sqrt(bits * tables * theta * (1 - theta)))
 
-    counts = vectors.mapInArrow(_codes(mean, rotation, bits, tables, True), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = vectors.mapInArrow(_codes(rotation, bits, tables, True), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     hot = materialize(counts.where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
-    codes = vectors.mapInArrow(_codes(mean, rotation, bits, tables, False), "key long, rid long, code binary").join(_small(hot), "key", "left")
+    codes = vectors.mapInArrow(_codes(rotation, bits, tables, False), "key long, rid long, code binary").join(_small(hot), "key", "left")
     # one number holds bucket, chunks and side, so that little more than the codes is shuffled
     group = lambda i, j, side: F.shiftleft("key", 34) + F.shiftleft(i.cast("long"), 18) + F.shiftleft(j.cast("long"), 2) + side
     own, x = F.pmod(F.xxhash64("rid"), F.col("chunks")), F.col("x")
