@@ -12,6 +12,7 @@ beyond ``cutoff``; a page is spam if outliers make up more than half of its text
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import re
 from collections import Counter
@@ -33,31 +34,48 @@ FUNCTION_WORDS = {
 }
 _SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
 WORDS = 60
+#: Stretches that a language needs to be judged by its own medians.
+FEW = 500
 
 _LINK = re.compile(r"<a\b[^>]*>.*?</a>|\[url=[^\]]*\].*?\[/url\]|\[[^\]\n]{0,200}\]\([^)\n]{0,400}\)|https?://\S+|www\.\S+|\b[\w-]+(?:\.[\w-]+)+/\S*|\b(?:[\w-]+\.)+(?:com|net|org|info|biz|example|invalid|test)\b\S*", re.I | re.S)
 _TAG = re.compile(r"#\w[\w-]*|\bSKU[-\s]?\w+|(?:(?:from|ab|desde)\s)?(?:\$|€|£|EUR|USD|R\$)\s?\d+(?:[.,]\d+)?|\(\d{1,4}\)", re.I)
-_ODD = re.compile(r"\b(?:\w-){3,}\w\b|\b\w*[^\W\d_][@0134$][^\W\d_]\w*\b|\b\w*[@$][^\W\d_]\w*|\b\w+_\w+(?:\+[\w ]+)?|\b[^\W\d_][@013][^\W\d_]?\w*\b|[»›]")
+_ODD = re.compile(r"\b(?:\w-){3,}\w\b|\b\w*[^\W\d_][@0134$][^\W\d_]\w*\b|\b\w*[@$][^\W\d_]\w*|\b\w+_\w+(?:\+[\w ]+)?|\b[^\W\d_][@013][^\W\d_]?\w*\b|[»›](?![^»›\n]{0,80}«)[^»›\n]{0,40}")
 _REFERENCE = re.compile(r"\b\d+:\d+(?:-\d+)?\b")
 _MARKUP = re.compile(r"<(?!/?a\b)[^<>]{1,80}>", re.I)
-_PIECE = re.compile(r"\S+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 #: Private characters that stand for what was found.
 LINK, TAG, ODD, REFERENCE = "\ue000", "\ue001", "\ue002", "\ue003"
+_DOMAIN = re.compile(r"\.(?:com|net|org|info|biz|example|invalid|test)\b")
+_LEET, _SPELT = re.compile(r"(?<=[^\W\d_])[0134]"), re.compile(r"-\w-")
+
+
+def _has(text: str, *parts: str) -> bool:
+    return any(p in text for p in parts)
+
+
+#: What is marked, a cheap test (on lower case) without which there is none of it, and the pattern.
+_MARKS = (
+    (LINK, lambda t: _has(t, "://", "www.", "<a", "[url", "](", "/") or _DOMAIN.search(t), _LINK),
+    (TAG, lambda t: _has(t, "#", "$", "€", "£", "(", "sku", "eur", "usd"), _TAG),
+    (ODD, lambda t: _has(t, "@", "$", "_", "»", "›") or _LEET.search(t) or "-" in t and _SPELT.search(t), _ODD),
+    (REFERENCE, lambda t: ":" in t, _REFERENCE),
+)
 FEATURES = ("links", "tags", "odd", "bare", "repeated", "flat")
 
 
 def language(lang: str | None, words: list[str]) -> str:
-    """``lang`` if its function words are known, else the language whose function words are most frequent."""
+    """``lang`` if its function words are known, else the language whose function words are most frequent, the first of equals."""
     if lang in _SETS:
         return lang
     n = Counter(words)
-    return max(sorted(_SETS), key=lambda k: sum(c for w, c in n.items() if w in _SETS[k]))
+    return max(_SETS, key=lambda k: sum(c for w, c in n.items() if w in _SETS[k]))
 
 
 def stretches(text: str, lang: str | None) -> tuple[str, list[tuple[int, list[float]]]]:
     """The language, and (characters, features) of each stretch of about WORDS words."""
-    plain = html.unescape(html.unescape(text)) if "&" in text else text
-    plain = _MARKUP.sub(" ", plain)
+    marked = html.unescape(html.unescape(text)) if "&" in text else text
+    if "<" in marked:
+        marked = _MARKUP.sub(" ", marked)
     # links, tags and disguised words are marked by one private character each and counted by their length
     sizes: list[int] = []
 
@@ -69,40 +87,36 @@ def stretches(text: str, lang: str | None) -> tuple[str, list[tuple[int, list[fl
         return replace
 
     order: dict[str, Iterator[int]] = {}
-    marked = plain
-    for sign, pattern in ((LINK, _LINK), (TAG, _TAG), (ODD, _ODD), (REFERENCE, _REFERENCE)):
-        sizes = []
-        marked = pattern.sub(mark(sign), marked)
-        order[sign] = iter(sizes)
-    pieces = _PIECE.findall(marked)
-    lowered = [w for p in pieces for w in _WORD.findall(p.casefold())] if lang not in _SETS else []
-    lang = language(lang, lowered)
+    low = marked.casefold()
+    for sign, hint, pattern in _MARKS:
+        if hint(low):
+            sizes = []
+            marked = pattern.sub(mark(sign), marked)
+            order[sign] = iter(sizes)
+    pieces = (marked.casefold() if order else low).split()
+    if lang not in _SETS:
+        lang = language(lang, _WORD.findall(" ".join(pieces)))
     known, out = _SETS[lang], []
     cut = max(1, round(len(pieces) / WORDS))
     step = math.ceil(len(pieces) / cut) if pieces else 1
     for at in range(0, len(pieces), step):
-        chars = dict.fromkeys((LINK, TAG, ODD, REFERENCE), 0)
-        n_ref = function = total = 0
-        content: Counter[str] = Counter()
-        for p in pieces[at : at + step]:
-            if p in chars:
-                size = next(order[p])
-                chars[p] += size
-                total += size + 1
-                n_ref += p == REFERENCE
-                continue
-            total += len(p) + 1
-            if p == "&":
-                function += 1
-                continue
-            for w in _WORD.findall(p.casefold()):
-                if w in known:
-                    function += 1
-                else:
-                    content[w] += 1
-        n = sum(content.values())
-        words = n + function
+        part = pieces[at : at + step]
+        joined = " ".join(part)
+        total, chars = len(joined), dict.fromkeys((LINK, TAG, ODD, REFERENCE), 0)
+        n_ref = 0
+        for sign in order:
+            n = joined.count(sign)
+            if n:
+                chars[sign] = sum(itertools.islice(order[sign], n))
+                total += chars[sign] - n
+                n_ref += n * (sign == REFERENCE)
+        content = Counter(_WORD.findall(joined))
+        words = content.total() + part.count("&")
+        for w in content.keys() & known:
+            del content[w]
         counts = sorted(content.values(), reverse=True)
+        n = sum(counts)
+        function = words - n
         often = sum(c for c in counts[1:] if c > 2) + (counts[0] if counts and counts[0] * 2 > n > 3 else 0)
         entropy = -sum(c / n * math.log(c / n) for c in counts) / math.log(n) if n > 1 else 1.0
         prose = min(1.0, (function + 4 * n_ref) / words) if words else 0.0
@@ -137,11 +151,16 @@ def spam_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = kept.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     schema = f"doc_id {documents.schema[id_col].dataType.simpleString()}, lang string, chars long, " + ", ".join(f"{f} double" for f in FEATURES)
     parts = materialize(kept.mapInPandas(_measure, schema))
-    centre = parts.groupBy("lang").agg(*(F.percentile_approx(f, 0.5, 2000).alias(f"m_{f}") for f in FEATURES))  # one row per known language
-    off = parts.join(F.broadcast(centre), "lang")
+    # a language with few stretches is held against those of all languages
+    enough = [r["lang"] for r in parts.groupBy("lang").count().where(F.col("count") >= FEW).collect()]  # known languages only
+    groups = parts.withColumn("lang", F.explode(F.array(F.when(F.col("lang").isin(enough), F.col("lang")), F.lit("*")))).where("lang is not null")
+    centre = groups.groupBy("lang").agg(*(F.percentile_approx(f, 0.5, 2000).alias(f"m_{f}") for f in FEATURES))  # one row per known language, and one
+    off = groups.join(F.broadcast(centre), "lang")
     scale = off.groupBy("lang").agg(*(F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), 0.5, 2000).alias(f"s_{f}") for f in FEATURES))
     scale = scale.select("lang", *(F.greatest(F.lit(1.4826) * F.col(f"s_{f}"), F.lit(LEAST_SCALE[f])).alias(f"s_{f}") for f in FEATURES))
-    z = off.join(F.broadcast(scale), "lang").select("doc_id", "lang", "chars", *(((F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}")).alias(f) for f in FEATURES))
+    frame = materialize(centre.join(scale, "lang"))
+    standard = lambda df, by: df.join(F.broadcast(frame.withColumnRenamed("lang", "by")), by == F.col("by")).select("doc_id", "lang", "by", "chars", *(((F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}")).alias(f) for f in FEATURES))
+    z = standard(groups, F.col("lang"))
     clip = lambda f: F.greatest(F.lit(-2.5), F.least(F.lit(2.5), F.col(f)))
     pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
     seen = z.groupBy("lang").agg(*(F.avg(clip(FEATURES[i]) * clip(FEATURES[j])).alias(f"c{i}_{j}") for i, j in pairs)).collect()  # one row per known language
@@ -155,9 +174,10 @@ def spam_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 m[i, j] = m[j, i] = r[f"c{i}_{j}"] / size / 2
         inverse.append((r["lang"], *np.linalg.inv(m).ravel().tolist()))
     cols = [f"i{j}" for j in range(len(FEATURES) ** 2)]
-    table = spark.createDataFrame(inverse, "lang string, " + ", ".join(f"{c} double" for c in cols))
+    table = spark.createDataFrame(inverse, "by string, " + ", ".join(f"{c} double" for c in cols))
     toward = [F.greatest(F.lit(0.0), F.col(f)) for f in FEATURES]
     d2 = sum((toward[i] * toward[j] * F.col(cols[i * len(FEATURES) + j]) for i in range(len(FEATURES)) for j in range(len(FEATURES))), F.lit(0.0))
-    scored = z.join(F.broadcast(table), "lang").select("doc_id", "lang", "chars", F.sqrt(F.greatest(d2, F.lit(0.0))).alias("d"))
+    each = standard(parts, F.when(F.col("lang").isin(enough), F.col("lang")).otherwise("*"))
+    scored = each.join(F.broadcast(table), "by").select("doc_id", "lang", "chars", F.sqrt(F.greatest(d2, F.lit(0.0))).alias("d"))
     out = scored.groupBy("doc_id").agg(F.first("lang").alias("lang"), F.count(F.lit(1)).alias("n_stretches"), (F.sum(F.when(F.col("d") > cutoff, F.col("chars")).otherwise(0)) / F.sum("chars")).alias("spam_share"), F.max("d").alias("worst"))
     return out.select("doc_id", "lang", "n_stretches", F.round("spam_share", 6).alias("spam_share"), F.round("worst", 4).alias("worst"), (F.col("spam_share") > 0.5).alias("is_spam"))
