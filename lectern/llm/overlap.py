@@ -92,6 +92,7 @@ def _select(frequent: dict[int, int]):
 
 def fingerprints(texts: DataFrame) -> DataFrame:
     """(t, g, n, x, y) from (t, text): the selected hashes g of each text, its number of words and its word-set signature."""
+    texts = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t")
     total = texts.count()
     frequent = texts.select("text").mapInPandas(_grams, "g long").groupBy("g").count().where(F.col("count") > max(2, total // FREQUENT))
     known = {r["g"]: r["count"] for r in frequent.collect()}  # at most FREQUENT times the mean words of a text
