@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.relational import top
+from lectern.runtime import materialize
 
-BLOCK = 512
+#: Bytes of query vectors that are sent to the tasks at once; a larger query set is searched in parts.
+QUERY_BYTES = 32 << 20
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -27,42 +29,48 @@ def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.where(ok & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), v.alias("v"))
 
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id", vector_col: str = "vector", itself: bool = False) -> DataFrame:
-    """(query_id, id, score, rank): the k most similar rows of ``corpus`` for each query, ties by id.
-
-    Queries are packed into blocks of BLOCK vectors; every block meets every batch of the corpus once, as one
-    matrix product that keeps its best k only, so what is shuffled is k rows per query and batch. Vectors of another length than
-    the query's, invalid ones and, unless ``itself``, rows with the query's id don't count.
-    """
-    q = _valid(queries, query_id, vector_col).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
-    n = max(1, -(-q.count() // BLOCK))
-    blocks = q.groupBy(F.pmod("block", F.lit(n)).alias("block"), F.size("v").alias("dim")).agg(F.collect_list("id").alias("qids"), F.flatten(F.collect_list("v")).alias("qv"))
-    rows = _valid(corpus, id_col, vector_col).withColumn("dim", F.size("v"))
-    id_type, q_type = rows.schema["id"].dataType, q.schema["id"].dataType
+def _best(queries: dict[int, tuple[pa.Array, np.ndarray]], k: int):
+    """For each batch of the corpus, one matrix product per vector length; equal scores at the edge stay, as ids settle them."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = batch.column("block").to_numpy()
-            for b in np.unique(held):
-                at = np.flatnonzero(held == b)
-                first = int(at[0])
-                dim = batch.column("dim")[first].as_py()
-                qids = batch.column("qids")[first].values
-                a = _unit(batch.column("qv")[first].values.to_numpy().reshape(-1, dim))
-                own = batch.take(pa.array(at))
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                if dim not in queries:
+                    continue
+                ids, matrix = queries[dim]
+                own = batch.filter(pa.array(dims == dim))
                 x = _unit(own.column("v").flatten().to_numpy().reshape(-1, dim))
-                ids = own.column("id")
-                s = np.round(a @ x.T, 9)
-                order = np.argsort(-s, axis=1, kind="stable")
-                keep = min(k + 1, s.shape[1])
-                # equal scores at the edge stay, as ids settle them
-                edge = np.take_along_axis(s, order[:, keep - 1 : keep], 1)
+                s = np.round(matrix @ x.T, 9)
+                at = max(0, s.shape[1] - (k + 1))
+                edge = np.partition(s, at, axis=1)[:, at : at + 1]
                 i, j = np.nonzero(s >= edge)
-                yield pa.RecordBatch.from_arrays([qids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(s[i, j])], ["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), own.column("id").take(pa.array(j)), pa.array(s[i, j])], ["query_id", "id", "score"])
+
+    return run
 
-    met = rows.join(F.broadcast(blocks.select("block", "dim").distinct()), "dim").join(blocks.select("block", "qids", "qv"), "block") if n > 64 else rows.join(F.broadcast(blocks), "dim")
-    met = met.select("id", "v", "dim", "block", "qids", "qv")
-    found = met.mapInArrow(score, f"query_id {q_type.simpleString()}, id {id_type.simpleString()}, score double")
+
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id", vector_col: str = "vector", itself: bool = False) -> DataFrame:
+    """(query_id, id, score, rank): the k most similar rows of ``corpus`` for each query, ties by id.
+
+    The queries go to the tasks in parts of QUERY_BYTES at most; each batch of the corpus meets a part in one matrix
+    product and keeps its best k only, so what is shuffled is k rows per query and batch. Vectors of another
+    length than the query's, invalid ones and, unless ``itself``, rows with the query's id don't count.
+    """
+    q = materialize(_valid(queries, query_id, vector_col).withColumn("dim", F.size("v")))
+    rows = _valid(corpus, id_col, vector_col).withColumn("dim", F.size("v"))
+    schema = f"query_id {q.schema['id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
+    n = q.agg(F.ceil(F.coalesce(F.sum("dim"), F.lit(0)) * 8 / QUERY_BYTES).cast("int").alias("n")).first()["n"]
+    found = None
+    for part in range(max(1, n)):
+        own = q.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n))) == part).toArrow()
+        sizes = own.column("dim").to_numpy()
+        held = {}
+        for dim in np.unique(sizes).tolist():
+            t = own.filter(pa.array(sizes == dim)).combine_chunks()
+            held[dim] = t.column("id").combine_chunks(), _unit(t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim))
+        hits = rows.mapInArrow(_best(held, k), schema)
+        found = hits if found is None else found.union(hits)
     if not itself:
         found = found.where(F.col("query_id") != F.col("id"))
     return top(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
