@@ -39,7 +39,7 @@ SCORES = ["sparse_score", "dense_score", "rerank_score", "raw_score"]
 
 def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
     r = rankagg.rank_lists(table(spark, d, "hybrid_results"), "result_id", "documents", "id", SCORES)
-    return r.select(F.col("list_id").alias("result_id"), F.col("item").alias("doc_id"), "position", "significance", "evidence")
+    return r.select(F.col("list_id").alias("result_id"), F.col("item").alias("doc_id"), F.col("position").cast("long").alias("position"), F.round("significance", 6).alias("significance"), F.round("evidence", 6).alias("evidence"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

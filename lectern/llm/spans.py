@@ -197,7 +197,7 @@ class SharedSpans:
         return across.select("p", "q").union(within.select("p", "q")).select(F.least("p", "q").alias("doc_a"), F.greatest("p", "q").alias("doc_b"))
 
     def spans(self) -> DataFrame:
-        """(d, start, length, n_windows): the maximal stretches of a class text that are covered by shared runs; start counts from 0."""
+        """(d, start, length): the maximal stretches of a class text that are covered by shared runs; start counts from 0."""
         _, sets = self._groups()
         hit = self.windows().join(sets.select("h1", "h2"), ["h1", "h2"], "left_semi").select("d", "s").distinct()
         m = self.min_len
@@ -215,5 +215,5 @@ class SharedSpans:
         shared = F.when(whole, F.col("n_chars").cast("long")).otherwise(F.coalesce("c", F.lit(0)).cast("long"))
         return self.members.join(by_class, "d", "left").select(
             F.col("id").alias("doc_id"), F.col("d").alias("class_id"), F.col("n_chars").cast("long").alias("n_chars"), shared.alias("shared_chars"),
-            F.when(F.col("n_chars") > 0, F.round(shared / F.col("n_chars"), 6)).otherwise(F.lit(0.0)).alias("shared_share"), F.coalesce("n", F.when(whole, 1).otherwise(0)).cast("long").alias("n_spans"),
+            F.when(F.col("n_chars") > 0, F.round(shared / F.col("n_chars"), 6)).otherwise(F.lit(0.0)).alias("shared_share"), F.when(whole, 1).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_spans"),
         )
