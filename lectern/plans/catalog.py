@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import compare, corpus, dense, fusion, index, judge, metrics, report, rerank, sparse, training
 from lectern.operators.relational import batches, latest
-from lectern.plans import oracle
+from lectern.plans import evaluation, oracle
 from lectern.plans.methods import Retrieval
 from lectern.runtime import table
 
@@ -219,6 +219,20 @@ def small_hybrid(spark, d):
     return _retrieval(spark, d).small_hybrid().withColumn("original_sources", F.array_join("original_sources", ","))
 
 
+def evaluation_run(spark, d):
+    """Retrieval, judging and metrics of four methods over all test queries."""
+    r, q = _retrieval(spark, d), asked(spark, d).select("query_id", "query").where("query is not null")
+    hits = r.legacy(10).unionByName(r.contextual(10)).unionByName(r.contextual_rerank(n=10).select(*r.contextual(1).columns)).unionByName(r.sparse(10))
+    pairs = (("legacy", "contextual"), ("contextual", "contextual_rerank"), ("sparse", "contextual"))
+    return _rounded(evaluation.evaluate(hits, q, pairs=pairs).comparisons)
+
+
+def built_training_set(spark, d):
+    """Candidates of all test queries, judged and labelled."""
+    q = latest(table(spark, d, "test_queries"), "id", ["added_at", "query"]).where("query is not null").select(F.col("id").alias("query_id"), "query", "type")
+    return evaluation.build_training_set(_retrieval(spark, d), q, 50).drop("document")
+
+
 def sparse_vs_dense(spark, d):
     s, e = _hits(spark, d, "sparse").where("rank <= 5"), _hits(spark, d, "dense").where("rank <= 5")
     return compare.side_by_side(s, e).withColumn("rank", F.col("rank").cast("long"))
@@ -390,7 +404,7 @@ def reranker_fit_predict(spark, d):
 
 _ALL = (
     flatten_passages, chapter_text, chapter_counts, chapter_summaries, contextualize, context_extract, slug_ids, display_names, token_counts_rollup, normalize_sections, normalize_map, batch_assignment,
-    index_records, upsert_merge, index_stats, dense_topk, lsh_topk, inverted_index, bm25_topk, rrf_fusion, hybrid_rrf, rerank_topn, hybrid_rerank, retrieve_all, legacy_vs_contextual, small_hybrid, sparse_vs_dense,
+    index_records, upsert_merge, index_stats, dense_topk, lsh_topk, inverted_index, bm25_topk, rrf_fusion, hybrid_rrf, rerank_topn, hybrid_rerank, retrieve_all, legacy_vs_contextual, small_hybrid, evaluation_run, built_training_set, sparse_vs_dense,
     judge_parse, judgments, judged_hits, response_docs_block, rank_prompt, precision_at_k, reciprocal_rank, dcg_ndcg, query_metrics, aggregate_metrics, paired_ttest, comparison_matrix, by_type, improvement, worst_queries, overlap_at_k, mean_overlap, latency_stats, summary_report,
     training_examples, soft_labels, train_test_split, class_weights, eval_samples, dataset_stats, score_histogram, query_type_histogram, tsv_export, pair_dataset, reranker_fit_predict,
 )
