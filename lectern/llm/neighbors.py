@@ -25,7 +25,7 @@ from lectern.runtime import by_size, materialize
 
 #: Vectors collected to learn the rotations.
 SAMPLE = 20_000
-#: A bucket above this many codes is compared in pairs of chunks, each pair its own task group.
+#: A bucket above this many codes is compared in pairs of chunks, each pair its own group; the chunks grow only beyond 4,095 of them.
 CHUNK = 2_048
 #: Tables of exceptions (hot buckets, copies) are broadcast up to so many rows, joined by shuffle beyond.
 BROADCAST = 200_000
@@ -33,7 +33,7 @@ BROADCAST = 200_000
 
 def index_shape(n: int, recall: float, recall_at: float) -> tuple[int, int]:
     """(bits of a substring, substrings): buckets stay near 2**8 codes on average whatever n is; the number of substrings follows from the recall."""
-    bits = min(16, max(12, math.ceil(math.log2(max(n, 2))) - 8))
+    bits = min(24, max(12, math.ceil(math.log2(max(n, 2))) - 8))
     agree = (1 - math.acos(recall_at) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
@@ -51,6 +51,11 @@ def learn_rotations(sample: np.ndarray, bits: int, rounds: int = 15, seed: int =
     return np.concatenate(parts, 1)[:, :bits]
 
 
+def _word(bits: int) -> type:
+    """What one substring is stored in."""
+    return np.uint16 if bits <= 16 else np.uint32
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -65,6 +70,11 @@ def _codes(rotation: np.ndarray, bits: int, tables: int, counts_only: bool):
         b = (x @ rotation > 0).reshape(len(x), tables, bits)
         return (b @ weight).astype(np.int64)
 
+    def count_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n = np.unique(subs(batch) + (np.arange(tables) << bits), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((tables, 1 << bits), dtype=np.int64)
         for batch in batches:
@@ -78,20 +88,23 @@ def _codes(rotation: np.ndarray, bits: int, tables: int, counts_only: bool):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = subs(batch)
-            packed = np.ascontiguousarray(s.astype(np.uint16))
+            packed = np.ascontiguousarray(s.astype(_word(bits)))
             whole = pa.array([r.tobytes() for r in packed], pa.binary())
             rid = batch.column("rid")
             for t in range(tables):
                 yield pa.RecordBatch.from_arrays([pa.array(s[:, t] + (t << bits)), rid, whole], ["key", "rid", "code"])
 
-    return count if counts_only else code
+    if counts_only:
+        return count if tables << bits <= 1 << 21 else count_each  # a table of all buckets only while it is small
+    return code
 
 
 def _meet(bits: int, tables: int, radius: int):
     """Over rows sorted by g (bucket, two chunks, side): the pairs of one bucket, or of two chunks of one, within the radius; each pair only in the first substring it agrees in."""
 
     def pairs(key: int, rid: np.ndarray, sub: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        word = sub.view(np.uint64) if sub.shape[1] % 4 == 0 else np.ascontiguousarray(np.pad(sub, ((0, 0), (0, -sub.shape[1] % 4)))).view(np.uint64)
+        whole = 8 // sub.itemsize
+        word = sub.view(np.uint64) if sub.shape[1] % whole == 0 else np.ascontiguousarray(np.pad(sub, ((0, 0), (0, -sub.shape[1] % whole)))).view(np.uint64)
         left = np.flatnonzero(side <= 0)
         right = left if side[0] == 0 and (side == 0).all() else np.flatnonzero(side == 1)
         found_a, found_b = [], []
@@ -131,9 +144,9 @@ def _meet(bits: int, tables: int, radius: int):
             if not batch.num_rows:
                 continue
             code = batch.column("code")
-            sub = np.frombuffer(b"".join(code.to_pylist()), dtype=np.uint16).reshape(-1, tables)
+            sub = np.frombuffer(b"".join(code.to_pylist()), dtype=_word(bits)).reshape(-1, tables)
             g = batch.column("g").to_numpy()
-            rest.append((g >> 34, g >> 2, batch.column("rid").to_numpy(), sub, (g & 3) - 1))
+            rest.append((g >> 26, g >> 2, batch.column("rid").to_numpy(), sub, (g & 3) - 1))
             if rest[0][1][0] != g[-1] >> 2:
                 cols = tuple(np.concatenate(x) for x in zip(*rest, strict=True))
                 end = int(np.flatnonzero(cols[1] != cols[1][-1])[-1]) + 1
@@ -212,10 +225,10 @@ def most_similar(
     radius = round(bits * tables * theta + 2.3 * math.sqrt(bits * tables * theta * (1 - theta)))
 
     counts = vectors.mapInArrow(_codes(rotation, bits, tables, True), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    hot = materialize(counts.where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
+    hot = materialize(counts.where(F.col("n") > CHUNK).select("key", F.least(F.lit(4095), F.ceil(F.col("n") / CHUNK)).cast("int").alias("chunks")))
     codes = vectors.mapInArrow(_codes(rotation, bits, tables, False), "key long, rid long, code binary").join(_small(hot), "key", "left")
     # one number holds bucket, chunks and side, so that little more than the codes is shuffled
-    group = lambda i, j, side: F.shiftleft("key", 34) + F.shiftleft(i.cast("long"), 18) + F.shiftleft(j.cast("long"), 2) + side
+    group = lambda i, j, side: F.shiftleft("key", 26) + F.shiftleft(i.cast("long"), 14) + F.shiftleft(j.cast("long"), 2) + side
     own, x = F.pmod(F.xxhash64("rid"), F.col("chunks")), F.col("x")
     split = codes.withColumn("x", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
     side = F.when(own == x, 1).when(own < x, 0).otherwise(2)

@@ -68,3 +68,17 @@ def test_latest_row_of_an_id_counts_and_empty_table(spark):
     assert ("y", "x") in got
     assert neighbors.most_similar(df.limit(0)).count() == 0
     assert neighbors.most_similar(df.limit(1)).count() == 0
+
+
+def test_long_substrings(spark, monkeypatch):
+    x = clustered(400, 96, seed=8)
+    monkeypatch.setattr(neighbors, "index_shape", lambda n, recall, at: (18, 50))
+    want = truth(x, 5, 0.8)
+    assert len(want & pairs(neighbors.most_similar(table(spark, x)))) >= 0.9 * len(want)
+
+
+def test_shape_grows_with_the_collection():
+    small, large = neighbors.index_shape(10**5, 0.93, 0.86), neighbors.index_shape(10**9, 0.93, 0.86)
+    assert small[0] == 12
+    assert large[0] == 22
+    assert large[1] > small[1]
