@@ -206,3 +206,14 @@ def test_plans_have_no_cartesian_product_and_prune_groups(spark):
     plan = dense.cosine_topk(df.where("id < 5").withColumnRenamed("id", "query_id"), df, 3)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan
     assert "WindowGroupLimit" in plan
+
+
+def test_lsh_recall(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((400, 64)))], "id long, vector array<double>")
+    q = df.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    exact = {(r["query_id"], r["id"]) for r in dense.cosine_topk(q, df, 10).collect()}
+    near = {(r["query_id"], r["id"]) for r in dense.lsh_topk(q, df, 10, 1.6).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
