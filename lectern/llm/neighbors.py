@@ -51,11 +51,6 @@ def learn_rotations(sample: np.ndarray, bits: int, rounds: int = 15, seed: int =
     return np.concatenate(parts, 1)[:, :bits]
 
 
-def _word(bits: int) -> type:
-    """What one substring is stored in."""
-    return np.uint16 if bits <= 16 else np.uint32
-
-
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -65,10 +60,12 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 def _codes(rotation: np.ndarray, bits: int, tables: int, counts_only: bool):
     dim, weight = len(rotation), (1 << np.arange(bits)).astype(np.int64)
 
-    def subs(batch: pa.RecordBatch) -> np.ndarray:
+    def signs(batch: pa.RecordBatch) -> np.ndarray:
         x = _matrix(batch.column("v"), dim)
-        b = (x @ rotation > 0).reshape(len(x), tables, bits)
-        return (b @ weight).astype(np.int64)
+        return (x @ rotation > 0).reshape(len(x), tables, bits)
+
+    def subs(batch: pa.RecordBatch) -> np.ndarray:
+        return (signs(batch) @ weight).astype(np.int64)
 
     def count_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,9 +84,9 @@ def _codes(rotation: np.ndarray, bits: int, tables: int, counts_only: bool):
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = subs(batch)
-            packed = np.ascontiguousarray(s.astype(_word(bits)))
-            whole = pa.array([r.tobytes() for r in packed], pa.binary())
+            b = signs(batch)
+            s = (b @ weight).astype(np.int64)
+            whole = pa.array([r.tobytes() for r in np.packbits(b.reshape(len(b), -1), axis=1)], pa.binary())
             rid = batch.column("rid")
             for t in range(tables):
                 yield pa.RecordBatch.from_arrays([pa.array(s[:, t] + (t << bits)), rid, whole], ["key", "rid", "code"])
@@ -102,9 +99,8 @@ def _codes(rotation: np.ndarray, bits: int, tables: int, counts_only: bool):
 def _meet(bits: int, tables: int, radius: int):
     """Over rows sorted by g (bucket, two chunks, side): the pairs of one bucket, or of two chunks of one, within the radius; each pair only in the first substring it agrees in."""
 
-    def pairs(key: int, rid: np.ndarray, sub: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        whole = 8 // sub.itemsize
-        word = sub.view(np.uint64) if sub.shape[1] % whole == 0 else np.ascontiguousarray(np.pad(sub, ((0, 0), (0, -sub.shape[1] % whole)))).view(np.uint64)
+    def pairs(key: int, rid: np.ndarray, code: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        word = np.ascontiguousarray(np.pad(code, ((0, 0), (0, -code.shape[1] % 8)))).view(np.uint64)
         left = np.flatnonzero(side <= 0)
         right = left if side[0] == 0 and (side == 0).all() else np.flatnonzero(side == 1)
         found_a, found_b = [], []
@@ -122,7 +118,8 @@ def _meet(bits: int, tables: int, radius: int):
         i, j = np.concatenate(found_a), np.concatenate(found_b)
         if not len(i):
             return None
-        first = np.argmax(sub[i] == sub[j], axis=1) == key >> bits
+        apart = np.unpackbits(code[i] ^ code[j], axis=1)[:, : bits * tables].reshape(-1, tables, bits).any(2)
+        first = np.argmin(apart, axis=1) == key >> bits
         i, j = i[first], j[first]
         return (np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])) if len(i) else None
 
@@ -130,11 +127,11 @@ def _meet(bits: int, tables: int, radius: int):
         rest: list[tuple[np.ndarray, ...]] = []
 
         def flush(cols: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            key, group, rid, sub, side = cols
+            key, group, rid, code, side = cols
             cut = np.flatnonzero(np.diff(group)) + 1
             out_a, out_b = [], []
             for lo, hi in zip(np.append(0, cut), np.append(cut, len(group)), strict=True):
-                if hi - lo > 1 and (found := pairs(int(key[lo]), rid[lo:hi], sub[lo:hi], side[lo:hi])):
+                if hi - lo > 1 and (found := pairs(int(key[lo]), rid[lo:hi], code[lo:hi], side[lo:hi])):
                     out_a.append(found[0])
                     out_b.append(found[1])
             if out_a:
@@ -143,10 +140,9 @@ def _meet(bits: int, tables: int, radius: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            code = batch.column("code")
-            sub = np.frombuffer(b"".join(code.to_pylist()), dtype=_word(bits)).reshape(-1, tables)
+            code = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
             g = batch.column("g").to_numpy()
-            rest.append((g >> 26, g >> 2, batch.column("rid").to_numpy(), sub, (g & 3) - 1))
+            rest.append((g >> 26, g >> 2, batch.column("rid").to_numpy(), code, (g & 3) - 1))
             if rest[0][1][0] != g[-1] >> 2:
                 cols = tuple(np.concatenate(x) for x in zip(*rest, strict=True))
                 end = int(np.flatnonzero(cols[1] != cols[1][-1])[-1]) + 1
