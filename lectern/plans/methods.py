@@ -26,6 +26,7 @@ class Retrieval:
         self.passages = passages.select("id", "text", F.coalesce("context", "text").alias("context"), "reference", F.coalesce("volume", F.lit("Unknown")).alias("volume"))
         self.queries, self.embedder, self.scorer, self.custom = queries.select("query_id", "query"), embedder, scorer, custom
         self._made: dict[str, DataFrame] = {}
+        self._held: dict[str, tuple[int, DataFrame]] = {}
 
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._made:
@@ -42,11 +43,24 @@ class Retrieval:
         full = hits.join(self.passages, "id").join(self.queries, "query_id")
         return full.select("query_id", "query", F.lit(method).alias("method"), "rank", "id", "score", "text", "reference", "volume", "context", F.lit(source).cast("string").alias("source"))
 
+    def _list(self, name: str, k: int) -> DataFrame:
+        """The first k hits of a list; a longer list that is already held is cut, not searched again."""
+        if name in self._held and self._held[name][0] >= k:
+            return self._held[name][1].where(F.col("rank") <= k)
+        if name == "sparse":
+            return sparse.bm25_topk(self.queries, self.passages, k, text_col="context")
+        return dense.cosine_topk(self._asked(), self._vectors(name), k, itself=True)
+
+    def hold(self, name: str, k: int) -> None:
+        """Search once for several methods: the list ``text``, ``context`` or ``sparse`` to depth k."""
+        if self._held.get(name, (0,))[0] < k:
+            self._held[name] = k, materialize(self._list(name, k))
+
     def _dense(self, column: str, k: int) -> DataFrame:
-        return dense.cosine_topk(self._asked(), self._vectors(column), k, itself=True)
+        return self._list(column, k)
 
     def _sparse(self, k: int) -> DataFrame:
-        return sparse.bm25_topk(self.queries, self.passages, k, text_col="context")
+        return self._list("sparse", k)
 
     def legacy(self, k: int = 10) -> DataFrame:
         return self._dress(self._dense("text", k), "legacy").withColumn("context", F.lit(None).cast("string"))
@@ -90,6 +104,9 @@ class Retrieval:
     def retrieve_all(self, k: int = 10, hybrid: bool = True) -> DataFrame:
         """All methods in one table; the custom reranker only if there is one."""
         cols = ["query_id", "method", "rank", "id", "score", "reference"]
+        self.hold("context", max(k, 150))
+        if hybrid:
+            self.hold("sparse", 75)
         parts = [self.legacy(k), self.contextual(k), self.contextual_rerank()]
         if self.custom is not None:
             parts.append(self.contextual_custom_rerank())
