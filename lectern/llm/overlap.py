@@ -49,11 +49,12 @@ def normalised(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else normalise(t))
 
 
-def _signature(words: list[str]) -> tuple[int, int]:
-    bits = 0
+def signature(words: list[str], e: int) -> int:
+    """56 bits, of which every word sets one, below the edits that matter for the text; 255 edits stand for any number."""
+    bits = min(e, 255) << 56
     for w in words:
-        bits |= 1 << (xxhash.xxh64_intdigest(w, 3) & 127)
-    return tuple(x - (1 << 64) if x >> 63 else x for x in (bits & (1 << 64) - 1, bits >> 64))
+        bits |= 1 << xxhash.xxh64_intdigest(w, 3) % 56
+    return bits - (1 << 64) if bits >> 63 else bits
 
 
 def hashes(words: list[str]) -> np.ndarray:
@@ -77,33 +78,35 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _select(frequent: dict[int, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: list[tuple[int, int, int, int, int]] = []
+            out: list[tuple[int, int, int]] = []
             for t, text in zip(batch["t"], batch["text"], strict=True):
                 words = text.split()
                 own = sorted(((frequent.get(g, 0), g) for g in np.unique(hashes(words)).tolist()))
                 # the other text may be up to a quarter longer, so its e bounds the edits too
                 e = edit_limit(len(words) + len(words) // 4 + 1)
-                x, y = _signature(words)
-                out += [(t, g, len(words), x, y) for _, g in own[: 3 * e + 1]]
-            yield pd.DataFrame(out, columns=["t", "g", "n", "x", "y"])
+                mark = signature(words, e)
+                out += [(t, g, mark) for _, g in own[: 3 * e + 1]]
+            yield pd.DataFrame(out, columns=["t", "g", "s"])
 
     return run
 
 
 def fingerprints(texts: DataFrame) -> DataFrame:
-    """(t, g, n, x, y) from (t, text): the selected hashes g of each text, its number of words and its word-set signature."""
+    """(t, g, s) from (t, text): the selected hashes g of each text, and its signature."""
     texts = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t")
     total = texts.count()
     frequent = texts.select("text").mapInPandas(_grams, "g long").groupBy("g").count().where(F.col("count") > max(2, total // FREQUENT))
     known = {r["g"]: r["count"] for r in frequent.collect()}  # at most FREQUENT times the mean words of a text
-    return texts.select("t", "text").mapInPandas(_select(known), "t long, g long, n int, x long, y long")
+    return texts.select("t", "text").mapInPandas(_select(known), "t long, g long, s long")
 
 
 def _can_match() -> Column:
-    """Necessary for a chain of four fifths: lengths, and at most a fifth of the words lacking in the other's signature."""
-    e = F.floor(F.greatest("n_a", "n_b") / 5)
-    lacks = lambda p, q: F.bit_count(F.col(f"x_{p}").bitwiseAND(F.bitwise_not(f"x_{q}"))) + F.bit_count(F.col(f"y_{p}").bitwiseAND(F.bitwise_not(f"y_{q}")))
-    return (F.abs(F.col("n_a") - F.col("n_b")) <= e) & (lacks("a", "b") <= e) & (lacks("b", "a") <= e)
+    """Necessary for a chain of four fifths: neither text's words may set more bits that the other lacks than there may be edits."""
+    a, b = F.col("s_a"), F.col("s_b")
+    e = F.least(F.shiftrightunsigned(a, 56), F.shiftrightunsigned(b, 56))
+    bits = F.lit((1 << 56) - 1)
+    lacks = lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)).bitwiseAND(bits))
+    return (e == 255) | ((lacks(a, b) <= e) & (lacks(b, a) <= e))
 
 
 def chain(a: list[str], b: list[str]) -> int:
@@ -136,8 +139,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, keep: list[str]) -> DataFrame:
 def near_texts(texts: DataFrame) -> DataFrame:
     """(a, b, coverage) from (t, text, left, right): each pair of a ``left`` and a ``right`` text that are the same or nearly the same."""
     marks = materialize(fingerprints(texts).join(texts.select("t", "left", "right"), "t"))
-    a = marks.where("left").select("g", *(F.col(c).alias(f"{'a' if c == 't' else c + '_a'}") for c in ("t", "n", "x", "y")))
-    b = marks.where("right").select("g", *(F.col(c).alias(f"{'b' if c == 't' else c + '_b'}") for c in ("t", "n", "x", "y")))
+    a = marks.where("left").select("g", *(F.col(c).alias(f"{'a' if c == 't' else c + '_a'}") for c in ("t", "s")))
+    b = marks.where("right").select("g", *(F.col(c).alias(f"{'b' if c == 't' else c + '_b'}") for c in ("t", "s")))
     pairs = a.join(b, "g").where((F.col("a") != F.col("b")) & _can_match()).select("a", "b").distinct()
     same = texts.where("left and right").select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(1.0).alias("coverage"))
     return _verified(pairs, texts, []).union(same)
@@ -173,7 +176,7 @@ class CrossSplitOverlap:
         """(a, b, coverage): nearly same documents, an evaluation row's and a train row's, whose queries are linked too."""
         if self._docs is None:
             marks = materialize(fingerprints(self.doc_texts).withColumnRenamed("t", "d"))
-            side = lambda df, own: df.join(marks, "d").select("q", "g", F.col("d").alias(own), *(F.col(c).alias(f"{c}_{own}") for c in "nxy"))
+            side = lambda df, own: df.join(marks, "d").select("q", "g", F.col("d").alias(own), F.col("s").alias(f"s_{own}"))
             link = self.query_links.select(F.col("a").alias("q"), F.col("b").alias("to"))
             tested = self.rows.where("not train and q is not null and d is not null").select("q", "d").distinct().join(link, "q").select(F.col("to").alias("q"), "d").distinct()
             trained = self.rows.where("train and q is not null and d is not null").select("q", "d").distinct().join(tested.select("q").distinct(), "q", "left_semi")
