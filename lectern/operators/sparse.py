@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators.relational import top
+from lectern.runtime import materialize
+
+#: Query terms that are sent to the tasks at once; a larger query set is searched in parts.
+QUERY_TERMS = 2_000_000
 
 
 def inverted_index(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -16,16 +26,57 @@ def inverted_index(docs: DataFrame, id_col: str = "id", text_col: str = "text")
     return each.select("term", "id", F.size(F.filter("w", lambda x: x == F.col("term"))).alias("tf"), "dl")
 
 
+def _scores(queries: pa.Array, terms: dict[str, tuple[float, np.ndarray]], k: int, avgdl: float, k1: float, b: float):
+    """For each stretch of documents one table of scores, queries by documents; only the best of each query leave the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, 4_000_000 // max(1, len(queries)))
+        for batch in batches:
+            texts = batch.column("w").to_pylist()
+            for lo in range(0, len(texts), step):
+                part = texts[lo : lo + step]
+                s = np.zeros((len(part), len(queries)))
+                for row, words in enumerate(part):
+                    norm = k1 * (1 - b + b * len(words) / avgdl)
+                    for term, tf in Counter(words).items():
+                        if hit := terms.get(term):
+                            s[row, hit[1]] += hit[0] * tf * (k1 + 1) / (tf + norm)
+                s = np.round(s.T, 9)
+                at = max(0, s.shape[1] - k)
+                # equal scores at the edge stay, as ids settle them
+                i, j = np.nonzero((s >= np.partition(s, at, axis=1)[:, at : at + 1]) & (s > 0))
+                yield pa.RecordBatch.from_arrays([queries.take(pa.array(i)), batch.column("id").take(pa.array(j + lo)), pa.array(s[i, j])], ["query_id", "id", "score"])
+
+    return run
+
+
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query", id_col: str = "id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, id, score, rank): the k best documents of each query, ties by id; a query's distinct terms count.
 
-    Only postings of terms that some query has leave the scan; document frequencies are counted on these.
+    The stated query set goes to the tasks in parts of QUERY_TERMS terms at most; every document meets a part once and
+    each task keeps a query's best only, so frequent words multiply no rows. Document frequencies are counted of the terms that
+    some query has. Null ids are dropped; a query without a known word has no rows.
     """
-    q = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(T.tokens(query_text))).alias("term"))
-    sizes = docs.where(F.col(id_col).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(T.token_count(text_col)).alias("avgdl"))  # one row
-    postings = inverted_index(docs, id_col, text_col).join(q.select("term").distinct(), "term", "left_semi")
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(sizes)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
-    weighed = postings.join(idf, "term").select("term", "id", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
-    scored = q.join(weighed, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 9).alias("score"))
-    return top(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
+    q = materialize(queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).alias("id"), F.array_distinct(T.tokens(query_text)).alias("terms")).where(F.size("terms") > 0))
+    words = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), T.tokens(text_col).alias("w"))
+    size = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl")).first()
+    n, avgdl = size["n"], size["avgdl"] or 1.0
+    vocabulary = q.select(F.explode("terms").alias("term")).distinct()
+    df = materialize(words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(vocabulary, "term"))
+    parts = max(1, q.agg(F.ceil(F.coalesce(F.sum(F.size("terms")), F.lit(0)) / QUERY_TERMS).cast("int").alias("p")).first()["p"])
+    schema = f"query_id {q.schema['id'].dataType.simpleString()}, id {words.schema['id'].dataType.simpleString()}, score double"
+    found = None
+    for p in range(parts):
+        mine = q.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p)
+        own = mine.toArrow()
+        seen = {r["term"]: r["df"] for r in df.join(mine.select(F.explode("terms").alias("term")).distinct(), "term").collect()}  # terms of this part
+        where: dict[str, list[int]] = {}
+        for i, terms in enumerate(own.column("terms").to_pylist()):
+            for t in terms:
+                if t in seen:
+                    where.setdefault(t, []).append(i)
+        held = {t: (math.log(1 + (n - seen[t] + 0.5) / (seen[t] + 0.5)), np.array(at)) for t, at in where.items()}
+        ids = own.column("id").combine_chunks()
+        hits = words.mapInArrow(_scores(ids, held, k, avgdl, k1, b), schema)
+        found = hits if found is None else found.union(hits)
+    return top(found, ["query_id"], [F.desc("score"), F.asc("id")], k)

@@ -217,3 +217,10 @@ def test_lsh_recall(spark):
     exact = {(r["query_id"], r["id"]) for r in dense.cosine_topk(q, df, 10).collect()}
     near = {(r["query_id"], r["id"]) for r in dense.lsh_topk(q, df, 10, 1.6).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_bm25_without_queries(spark):
+    docs = spark.createDataFrame([("a", "gate")], "id string, text string")
+    none = spark.createDataFrame([("n", None), ("m", "?")], "query_id string, query string")
+    assert sparse.bm25_topk(none, docs, 3).count() == 0
+    assert sparse.bm25_topk(spark.createDataFrame([("q", "gate")], "query_id string, query string"), docs.limit(0), 3).count() == 0
