@@ -191,7 +191,7 @@ def _hits(spark, d, method):
 
 
 def rerank_topn(spark, d):
-    r = rerank.rerank(_hits(spark, d, "contextual"), 5, initial=8)
+    r = rerank.rerank(_hits(spark, d, "contextual"), 20, initial=150)
     return r.select("query_id", "id", "reference", _r("score").alias("score"), F.col("rank").cast("long").alias("rank"), F.col("original_rank").cast("long").alias("original_rank"), _r("original_score").alias("original_score"))
 
 
