@@ -196,8 +196,8 @@ def rerank_topn(spark, d):
 
 
 def hybrid_rerank(spark, d):
-    f = _fused(spark, d, 15).drop("score").withColumnRenamed("rrf_score", "score")
-    r = rerank.rerank(f, 5)
+    f = _fused(spark, d, 50).drop("score").withColumnRenamed("rrf_score", "score")
+    r = rerank.rerank(f, 20)
     return r.select("query_id", "reference", _r("score").alias("rerank_score"), F.col("rank").cast("long").alias("rank"), F.col("original_rank").cast("long").alias("original_rank"), _r("original_score").alias("original_score"), F.array_join("sources", ",").alias("original_sources"))
 
 

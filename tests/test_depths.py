@@ -27,3 +27,11 @@ def tables(spark, tmp_path):
 def test_rerank_topn_scores_150_and_keeps_20(spark, tables):
     got = catalog.queries()["rerank_topn"](spark, tables(contextual=150)).orderBy("rank").collect()
     assert [r["original_rank"] for r in got] == [150, *range(1, 20)]
+
+
+def test_hybrid_rerank_scores_50_and_keeps_20(spark, tables):
+    got = catalog.queries()["hybrid_rerank"](spark, tables(sparse=30, dense=19)).orderBy("rank").collect()
+    # of the 49 fused references the words are in each list's last, both of them below place 15
+    assert len(got) == 20
+    assert {r["reference"] for r in got[:2]} == {"sparse 30", "dense 19"}
+    assert max(r["original_rank"] for r in got) > 15
