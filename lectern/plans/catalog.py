@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from lectern.operators.relational import batches, latest
 from lectern.plans import evaluation, oracle
 from lectern.plans.methods import Retrieval
 from lectern.runtime import table
+from lectern.sources.readers import RunConfig
 
 CUT = "2025-07-01 00:00:00"
 
@@ -220,11 +222,13 @@ def small_hybrid(spark, d):
 
 
 def evaluation_run(spark, d):
-    """Retrieval, judging and metrics of four methods over all test queries."""
-    r, q = _retrieval(spark, d), asked(spark, d).select("query_id", "query").where("query is not null")
-    hits = r.legacy(10).unionByName(r.contextual(10)).unionByName(r.contextual_rerank(n=10).select(*r.contextual(1).columns)).unionByName(r.sparse(10))
-    pairs = (("legacy", "contextual"), ("contextual", "contextual_rerank"), ("sparse", "contextual"))
-    return _rounded(evaluation.evaluate(hits, q, pairs=pairs).comparisons)
+    """Retrieval, judging and metrics of five methods over all test queries, at the depths of the run's settings."""
+    r, q, c = _retrieval(spark, d), asked(spark, d).select("query_id", "query").where("query is not null"), RunConfig()
+    r.hold("context", max(c.top_k, c.rerank_initial_k))
+    r.hold("sparse", 75)
+    made = [r.legacy(c.top_k), r.contextual(c.top_k), r.contextual_rerank(c.rerank_initial_k, c.rerank_top_n), r.hybrid_rrf(n=c.top_k), r.hybrid_rerank(n=c.rerank_top_n)]
+    hits = reduce(DataFrame.unionByName, (m.select("method", "query_id", "rank", "id", "reference", "text") for m in made))
+    return _rounded(evaluation.evaluate(hits, q, config=c).comparisons)
 
 
 def built_training_set(spark, d):
