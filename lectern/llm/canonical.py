@@ -70,6 +70,7 @@ class Trie:
             self.letters[c] = len(self.letters)
         self.bags = np.array([self._bag(w) for w in words], dtype=np.int16).reshape(len(words), len(self.letters) + 1)
         self.slack = np.array([max(allowed(len(w)), 0) for w in words])
+        self.longest = max((len(w) + allowed(len(w)) for w in words), default=0)  # no longer reading is within the distance of an entry
 
     def _add(self, word: str, i: int, length: int) -> None:
         node = self.root
@@ -116,6 +117,60 @@ class Trie:
                     stack.append((child, c, depth + 1, new, row))
         return found
 
+    def within_orders(self, words: list[str]) -> list[tuple[int, float, int]]:
+        """As ``within``, over all orders of ``words``: orders that have used the same words so far share their states, and words that leave none are not followed."""
+
+        def widen(states: dict) -> dict:
+            stack = [v for k, v in states.items() if not k[1]]
+            while stack:
+                d, node = stack.pop()
+                for c, child in node.items():
+                    if c and d < min(3, states.get((id(child), ""), (4,))[0] - 1):
+                        states[id(child), ""] = d + 1, child
+                        stack.append((d + 1, child))
+            return states
+
+        def step(states: dict, letter: str) -> dict:
+            new: dict = {}
+
+            def put(d: int, node: dict, due: str) -> None:
+                if d < new.get((id(node), due), (4,))[0]:
+                    new[id(node), due] = d, node
+
+            for (_, due), (d, node) in states.items():
+                if due:  # the second of two swapped letters
+                    if letter == due:
+                        put(d, node, "")
+                    continue
+                put(d + 1, node, "")
+                for c, child in node.items():
+                    if c:
+                        put(d + (c != letter), child, "")
+                        if c != letter and letter in child:
+                            put(d + 1, child[letter], c)
+            return widen(new)
+
+        level = {(): widen({(id(self.root), ""): (0, self.root)})}
+        for _ in words:
+            after: dict[tuple[int, ...], dict] = {}
+            for used, states in level.items():
+                tried = set()
+                for i, word in enumerate(words):
+                    if i in used or word in tried:
+                        continue
+                    tried.add(word)
+                    now = states
+                    for letter in word:
+                        now = step(now, letter)
+                    if now:
+                        own = after.setdefault(tuple(sorted((*used, i))), {})
+                        for key, v in now.items():
+                            if v[0] < own.get(key, (4,))[0]:
+                                own[key] = v
+            level = after
+        ends = [(d, node[""]) for states in level.values() for (_, due), (d, node) in states.items() if not due and "" in node]
+        return [(d, d / len(end[2]), end[0]) for d, end in ends if d <= end[1]]
+
     def completions(self, word: str) -> set[int]:
         """Ids of the entries of which ``word`` is more than half, from the start."""
         node = self.root
@@ -166,7 +221,7 @@ def match(trie: Trie, raw: str) -> tuple[int, float]:
         if i := trie.sorted.get(tuple(sorted(words))):
             return i, 0.0
     for words in readings:
-        if sum(map(len, words)) > 48:
+        if sum(map(len, words)) > trie.longest:
             continue
         orders = itertools.permutations(words) if 1 < len(words) <= 4 else [words]
         best: list[tuple[float, int, int]] = []
@@ -181,7 +236,9 @@ def match(trie: Trie, raw: str) -> tuple[int, float]:
             if not hope[letters]:
                 continue
             for form in forms:
-                best += [(ratio, d, i) for d, ratio, i in trie.within(form)]
+                if len(words) > 4:
+                    form = [w if form == order else w.translate(_DIGITS) for w in words]
+                best += [(ratio, d, i) for d, ratio, i in (trie.within(form) if len(words) <= 4 else trie.within_orders(form))]
             if any(b[1] == 0 for b in best):
                 break
         if best:
