@@ -115,7 +115,7 @@ class TargetSample:
     Rows with a null id are dropped, repeated ids must have been settled before. Shares that sum to less
     than one leave the rest to categories without a target; a minimum above the target raises it. A
     set with more than two dimensions crosses all but the first into one, with the product of their
-    shares. Shortfalls aren't filled up with other categories: the sample is smaller then and the report says where.
+    shares and without their minimums: only up to two dimensions are exact. Shortfalls aren't filled up with other categories: the sample is smaller then and the report says where.
     Targets with a null set, dimension, category, share or fraction, or an unknown dimension, are dropped.
     """
 
