@@ -22,14 +22,15 @@ _SPAN = 1 << 62
 
 
 class Mixture:
-    """``targets``: source, target_share, max_repeats. ``total_tokens``: size of the mixture; by default the
-    largest at which every listed source that has tokens reaches its share. A source that can't reach its
-    share gives all it may, and the report says so. Sources of equal name count once (largest share, then
+    """``targets``: source, target_share, max_repeats. ``total_tokens``: size of the mixture; ``size`` sets it where
+    that is none: "reachable" is the largest at which every listed source that has tokens reaches its share,
+    "supply" all tokens of the listed sources. A source that can't reach its share gives all it may, its other
+    slots stay empty, the rest keep their schedule, and the report says so. Sources of equal name count once (largest share, then
     repeats); null sources, and shares or repeats that are null or not positive, are dropped; shares are
     taken relative to their sum. Documents of unlisted sources, null ids and empty texts aren't used. Ids must be unique.
     """
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_tokens: int | None = None, block: int = 256, seed: int = 17, vocabulary: str = VOCABULARY):
+    def __init__(self, documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_tokens: int | None = None, size: str = "reachable", block: int = 256, seed: int = 17, vocabulary: str = VOCABULARY):
         self.spark, self.block, self.seed = documents.sparkSession, block, seed
         wanted = targets.select("source", F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("most")).where("source is not null and share > 0 and most > 0")
         rows = wanted.groupBy("source").agg(F.max(F.struct("share", "most")).alias("x")).select("source", "x.share", "x.most").orderBy("source").collect()  # one row per listed source
@@ -42,7 +43,11 @@ class Mixture:
         self.supply = {s: have.get(s, 0) for s in self.share}
         filled = [s for s in self.share if self.supply[s]]
         weight = sum(self.share[s] for s in filled)
-        if total_tokens is None:
+        if size not in ("reachable", "supply"):
+            raise ValueError(f"size is reachable or supply, not {size}")
+        if total_tokens is None and size == "supply":
+            total_tokens = sum(self.supply.values())
+        elif total_tokens is None:
             total_tokens = int(min((self.supply[s] * self.most[s] * weight / self.share[s] for s in filled), default=0))
         self.total = total_tokens
         self.slots = total_tokens // block
@@ -77,12 +82,21 @@ class Mixture:
         return self.schedule().join(pieces, ["source", "block_no"]).select("slot", "source", "doc_id", "pass_no", "start", "tokens")
 
     def report(self, records: DataFrame | None = None) -> DataFrame:
-        """One row per listed source: its target share, the share reached, tokens and documents used, passes, and whether the target was met within two blocks, two thousandths or a thirtieth."""
+        """One row per listed source: its target share, the share due and the share reached, tokens, passes, and a status.
+
+        Due is the target share once what exhausted sources can't give is left to the others in proportion. The status is ``no documents``,
+        ``short`` (all it may give is less than its target), or ``met`` if the share due is reached within two blocks, two thousandths or a thirtieth.
+        """
         records = self.records() if records is None else records
         got = records.groupBy("source").agg(F.sum("tokens").alias("tokens"), (F.max("pass_no") + 1).alias("passes"))
-        listed = self.spark.createDataFrame([(s, self.share[s], self.most[s], self.supply[s]) for s in self.share], "source string, target_share double, max_repeats int, source_tokens long")
+        wanted = {s: self.weight.get(s, 0.0) * self.slots * self.block for s in self.share}
+        gives = {s: min(wanted[s], float(self.supply[s] * self.most[s])) for s in self.share}
+        whole = sum(gives.values()) or 1.0
+        rows = [(s, self.share[s], gives[s] / whole, self.most[s], self.supply[s], gives[s] + 2 * self.block < wanted[s]) for s in self.share]
+        listed = self.spark.createDataFrame(rows, "source string, target_share double, due double, max_repeats int, source_tokens long, exhausted boolean")
         all_tokens = got.agg(F.sum("tokens").alias("all_tokens"))
         out = listed.join(got, "source", "left").join(F.broadcast(all_tokens))  # one row
         reached = F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0))
-        met = F.abs(reached - F.col("target_share")) <= F.greatest(F.lit(0.002), 2.0 * self.block / F.col("all_tokens"), F.col("target_share") * 0.03)
-        return out.select("source", F.round("target_share", 6).alias("target_share"), F.round(reached, 6).alias("reached_share"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), "source_tokens", F.coalesce("passes", F.lit(0)).alias("passes"), "max_repeats", F.when(met, "met").when(F.col("source_tokens") == 0, "no documents").when(reached < F.col("target_share"), "short").otherwise("over").alias("status"))
+        met = F.abs(reached - F.col("due")) <= F.greatest(F.lit(0.002), 2.0 * self.block / F.col("all_tokens"), F.col("due") * 0.03)
+        status = F.when(F.col("source_tokens") == 0, "no documents").when(F.col("exhausted"), "short").when(met, "met").when(reached < F.col("due"), "short").otherwise("over")
+        return out.select("source", F.round("target_share", 6).alias("target_share"), F.round("due", 6).alias("due_share"), F.round(reached, 6).alias("reached_share"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), "source_tokens", F.coalesce("passes", F.lit(0)).alias("passes"), "max_repeats", status.alias("status"))

@@ -105,7 +105,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
-    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), size="supply")
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
