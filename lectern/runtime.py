@@ -62,10 +62,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (tests) a folder of our own."""
+    """The cluster's shared folder; only where none is named and all runs on this machine (tests) a folder of our own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="lectern-")
@@ -96,6 +99,26 @@ def release() -> None:
 atexit.register(release)
 
 
+#: Tables are broadcast up to so many rows, joined by shuffle beyond.
+SMALL = 200_000
+
+
 def by_size(df: DataFrame, limit: int) -> bool:
     """Whether ``df`` has at most ``limit`` rows; reads no more than limit + 1 of them."""
     return df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= limit
+
+
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is."""
+    return F.broadcast(df) if by_size(df, SMALL if limit is None else limit) else df
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` in as many partitions as the session shuffles into, if its scan has fewer than the cluster has cores; a larger table is cut finer anyway and isn't shuffled.
+
+    For work that costs far more a byte than a scan does. ``df`` should be a scan with narrow steps only.
+    """
+    spark = df.sparkSession
+    if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by)
