@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.tokens import VOCABULARY, order_bucket, ranked, sized, summed
-from lectern.runtime import materialize
+from lectern.runtime import materialize, small
 
 #: The golden ratio's fraction as a 62-bit integer; slot n lies at n * GOLDEN mod 2**62.
 GOLDEN = 2850178377206449221
@@ -72,7 +72,7 @@ class Mixture:
         if not self.weight:
             return self.spark.createDataFrame([], "slot long, source string, doc_id long, pass_no int, start long, tokens long")
         plan = self.spark.createDataFrame([(s, min(self.most[s], -(-int(self.slots * w + 2) * self.block // self.supply[s])), self.supply[s]) for s, w in self.weight.items()], "source string, passes int, supply long")
-        used = self.sizes.join(F.broadcast(plan), "source").select("id", "source", "tokens", "supply", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass_no"))
+        used = self.sizes.join(small(plan), "source").select("id", "source", "tokens", "supply", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass_no"))
         used = used.withColumn("h", F.xxhash64(F.lit(self.seed), "pass_no", "id")).withColumn("b", order_bucket(F.col("h")))
         laid = summed(used, ["source", "pass_no"], "b", ["h", "id"], "tokens", "at").withColumn("at", F.col("at") + F.col("pass_no") * F.col("supply"))
         block_no = F.explode(F.sequence(F.floor(F.col("at") / self.block), F.floor((F.col("at") + F.col("tokens") - 1) / self.block)))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.tokens import VOCABULARY, order_bucket, ranked, sized
-from lectern.runtime import materialize
+from lectern.runtime import materialize, small
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -87,7 +87,7 @@ def pack(documents: DataFrame, containers: DataFrame, id_col: str = "doc_id", te
     # a run for each size and gap it met; their number is bounded by the capacities, not by the corpus
     table = spark.createDataFrame(runs, "kind string, size long, low long, high long, first long, each long")
     placed = ranked(parts.where("size > 0"), ["kind", "size"], "b", ["id"])
-    placed = placed.join(table, ["kind", "size"]).where("rank >= low and rank < high")
+    placed = placed.join(small(table), ["kind", "size"]).where("rank >= low and rank < high")
     box = F.concat(F.lit("mixed-"), (F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))).cast("string"))
     last = placed.select("kind", "id", F.floor((F.col("tokens") - F.col("size")) / F.col("capacity")).cast("int").alias("piece"), (F.col("tokens") - F.col("size")).alias("start"), F.col("size").alias("tokens"), box.alias("container_id"))
     whole = parts.where("tokens > size").select("kind", "id", "capacity", F.explode(F.sequence(F.lit(0), (F.floor((F.col("tokens") - F.col("size")) / F.col("capacity")) - 1).cast("int"))).alias("piece"))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.runtime import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pre-splitting pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -37,7 +39,7 @@ def sized(df: DataFrame, id_col: str, text_col: str, keep: list[str], vocabulary
             n = [0 if t is None else len(e.encode_ordinary(t)) for t in batch["__text"]]
             yield batch.drop(columns="__text").assign(tokens=n)
 
-    return cols.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, schema)
+    return spread(cols).mapInPandas(run, schema)
 
 
 def order_bucket(h: Column) -> Column:
