@@ -2,8 +2,13 @@
 
 A text is cut into stretches of some sixty words. Each has densities of links, of tags and
 product marks and of disguised words, a lack of function words, and the excess repetition
-and low entropy of its content words. Per language the centre and scale of these come
-from medians over all stretches, and their correlation from the clipped deviations.
+and low entropy of its content words. Per language the centre is the median of its stretches
+and the scale of a feature comes from the deviations in the spam-directed half: their CLEAN
+quantile as that of a normal distribution, and beside it the size of a single occurrence (a low
+quantile of the deviations that aren't zero), which is all there is where most stretches have
+none of a feature. The correlation is that of the CLEAN share of stretches with the least
+distance, taken anew after each of some concentration steps. A scale is pooled, by
+numbers of stretches, with that of all languages, and that one with PRIOR.
 A stretch is an outlier if its distance, taken over the deviations in the spam-directed
 half (more links, tags, disguise and repetition, less function words and entropy), is
 beyond ``cutoff``; a page is spam if outliers make up more than half of its text.
@@ -17,13 +22,15 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.runtime import materialize
+from lectern.operators.relational import top
+from lectern.runtime import materialize, small, spread
 
 #: Common function words. Words that two languages share in other roles are left out where they would mislead.
 FUNCTION_WORDS = {
@@ -34,18 +41,28 @@ FUNCTION_WORDS = {
 }
 _SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
 WORDS = 60
-#: Stretches that a language needs to be judged by its own medians.
-FEW = 500
+#: At least so large a share of a language's stretches is taken to be no spam; scale and correlation come from it.
+CLEAN = 0.95
+#: The quantile of the deviations above zero that stands for a single occurrence.
+ONCE = 0.05
+#: Scales before any text was seen, and the number of stretches that they, and then those of all languages, weigh as much as.
+PRIOR = {"links": 0.08, "tags": 0.05, "odd": 0.05, "bare": 0.055, "repeated": 0.1, "flat": 0.12}
+PRIOR_STRETCHES = 10_000
+#: The same for the centre of a language, drawn to that of all.
+CENTRE_STRETCHES = 100
+STEPS = 2
+#: Function words learned for a language without a list: the most widespread of the words in a tenth of its documents or more.
+LEARNED, WIDESPREAD = 120, 0.1
 
-_LINK = re.compile(r"<a\b[^>]*>.*?</a>|\[url=[^\]]*\].*?\[/url\]|\[[^\]\n]{0,200}\]\([^)\n]{0,400}\)|https?://\S+|www\.\S+|\b[\w-]+(?:\.[\w-]+)+/\S*|\b(?:[\w-]+\.)+(?:com|net|org|info|biz|example|invalid|test)\b\S*", re.I | re.S)
-_TAG = re.compile(r"#\w[\w-]*|\bSKU[-\s]?\w+|(?:(?:from|ab|desde)\s)?(?:\$|€|£|EUR|USD|R\$)\s?\d+(?:[.,]\d+)?|\(\d{1,4}\)", re.I)
-_ODD = re.compile(r"\b(?:\w-){3,}\w\b|\b\w*[^\W\d_][@0134$][^\W\d_]\w*\b|\b\w*[@$][^\W\d_]\w*|\b\w+_\w+(?:\+[\w ]+)?|\b[^\W\d_][@013][^\W\d_]?\w*\b|[»›](?![^»›\n]{0,80}«)[^»›\n]{0,40}")
+_LINK = re.compile(r"<a\b[^>]*>.*?</a>|\[url=[^\]]*\].*?\[/url\]|\[[^\[\]\n]*\]\([^()\n]*\)|https?://\S+|www\.\S+|\b[\w-]+(?:\.[\w-]+)+/\S*|(?-i:(?<![\w@.])[a-z0-9-]{2,}(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?!\w)\S*)", re.I | re.S)
+_TAG = re.compile(r"#\w[\w-]*|\bSKU[-\s]?\w+|(?:(?:from|ab|desde)\s)?(?:\$|€|£|EUR|USD|R\$)\s?\d+(?:[.,]\d+)?|\(\d+\)", re.I)
+_ODD = re.compile(r"\b(?:\w-){3,}\w\b|\b\w*[^\W\d_][@0134$][^\W\d_]\w*\b|\b\w*[@$][^\W\d_]\w*|\b\w+_\w+(?:\+[\w ]+)?|\b[^\W\d_][@013][^\W\d_]?\w*\b|[»›](?![^»›\n]*«)[^»›\n]*")
 _REFERENCE = re.compile(r"\b\d+:\d+(?:-\d+)?\b")
-_MARKUP = re.compile(r"<(?!/?a\b)[^<>]{1,80}>", re.I)
+_MARKUP = re.compile(r"<(?!/?a\b)[^<>]+>", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 #: Private characters that stand for what was found.
 LINK, TAG, ODD, REFERENCE = "\ue000", "\ue001", "\ue002", "\ue003"
-_DOMAIN = re.compile(r"\.(?:com|net|org|info|biz|example|invalid|test)\b")
+_DOMAIN = re.compile(r"[a-z0-9-]\.[a-z]{2}")
 _LEET, _SPELT = re.compile(r"(?<=[^\W\d_])[0134]"), re.compile(r"-\w-")
 
 
@@ -61,17 +78,21 @@ _MARKS = (
     (REFERENCE, lambda t: ":" in t, _REFERENCE),
 )
 FEATURES = ("links", "tags", "odd", "bare", "repeated", "flat")
+MARKS = FEATURES[:3]
 
 
-def language(lang: str | None, words: list[str]) -> str:
+Lists = dict[str, frozenset[str]]
+
+
+def language(lang: str | None, words: list[str], lists: Lists = _SETS) -> str:
     """``lang`` if its function words are known, else the language whose function words are most frequent, the first of equals."""
-    if lang in _SETS:
+    if lang in lists:
         return lang
     n = Counter(words)
-    return max(_SETS, key=lambda k: sum(c for w, c in n.items() if w in _SETS[k]))
+    return max(lists, key=lambda k: sum(c for w, c in n.items() if w in lists[k]))
 
 
-def stretches(text: str, lang: str | None) -> tuple[str, list[tuple[int, list[float]]]]:
+def stretches(text: str, lang: str | None, lists: Lists = _SETS) -> tuple[str, list[tuple[int, list[float]]]]:
     """The language, and (characters, features) of each stretch of about WORDS words."""
     marked = html.unescape(html.unescape(text)) if "&" in text else text
     if "<" in marked:
@@ -94,9 +115,9 @@ def stretches(text: str, lang: str | None) -> tuple[str, list[tuple[int, list[fl
             marked = pattern.sub(mark(sign), marked)
             order[sign] = iter(sizes)
     pieces = (marked.casefold() if order else low).split()
-    if lang not in _SETS:
-        lang = language(lang, _WORD.findall(" ".join(pieces)))
-    known, out = _SETS[lang], []
+    if lang not in lists:
+        lang = language(lang, _WORD.findall(" ".join(pieces)), lists)
+    known, out = lists[lang], []
     cut = max(1, round(len(pieces) / WORDS))
     step = math.ceil(len(pieces) / cut) if pieces else 1
     for at in range(0, len(pieces), step):
@@ -126,58 +147,111 @@ def stretches(text: str, lang: str | None) -> tuple[str, list[tuple[int, list[fl
     return lang, out
 
 
-def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for i, lang, text in zip(batch["doc_id"], batch["lang"], batch["text"], strict=True):
-            lang, parts = stretches(text, lang)
-            rows += [(i, lang, chars, *f) for chars, f in parts]
-        yield pd.DataFrame(rows, columns=["doc_id", "lang", "chars", *FEATURES])
+def _measure(lists: Lists):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, lang, text in zip(batch["doc_id"], batch["lang"], batch["text"], strict=True):
+                lang, parts = stretches(text, lang, lists)
+                rows += [(i, lang, chars, *f) for chars, f in parts]
+            yield pd.DataFrame(rows, columns=["doc_id", "lang", "chars", *FEATURES])
+
+    return run
 
 
-#: Smallest scale of each feature: most stretches have none of it, so the median deviation may be zero.
-LEAST_SCALE = {"links": 0.08, "tags": 0.05, "odd": 0.05, "bare": 0.055, "repeated": 0.1, "flat": 0.12}
+def _learned(kept: DataFrame) -> Lists:
+    """The function words of the languages in ``kept`` that have no list. Only their texts are read, and only where there are any."""
+    unlisted = F.col("lang").isNotNull() & ~F.col("lang").isin(list(_SETS))
+    codes = [r["lang"] for r in kept.select("lang").where(unlisted).groupBy("lang").count().where("count > 1").collect()]  # two or three letters, so there are 18,278 of them at most
+    if not codes:
+        return {}
+    mine = kept.where(F.col("lang").isin(codes))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
+    total = mine.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))
+    often = mine.select("lang", F.explode(words).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).join(small(total), "lang").where((F.col("n") > 1) & (F.col("n") >= F.col("texts") * WIDESPREAD))
+    out: dict[str, set[str]] = {c: set() for c in codes}
+    for r in top(often, ["lang"], [F.desc("n"), F.asc("w")], LEARNED).select("lang", "w").collect():  # LEARNED words a language
+        out[r["lang"]].add(r["w"])
+    return {c: frozenset(w) for c, w in out.items() if w}
+
+
+def _correlation(core: DataFrame) -> dict[str, np.ndarray]:
+    """Per language the correlation of the clipped standard deviations, drawn to independence as PRIOR_STRETCHES asks."""
+    clip = lambda f: F.greatest(F.lit(-2.5), F.least(F.lit(2.5), F.col(f)))
+    size = len(FEATURES)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    out = {}
+    for r in core.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *(F.avg(clip(FEATURES[i]) * clip(FEATURES[j])).alias(f"c{i}_{j}") for i, j in pairs)).collect():  # one row per language
+        m, weight = np.eye(size), r["n"] / (r["n"] + PRIOR_STRETCHES)
+        for i, j in pairs:
+            size_ = math.sqrt(r[f"c{i}_{i}"] * r[f"c{j}_{j}"])
+            if i != j and size_ > 0:
+                m[i, j] = m[j, i] = weight * r[f"c{i}_{j}"] / size_
+        out[r["lang"]] = m
+    return out
+
+
+def _with_distance(z: DataFrame, correlation: dict[str, np.ndarray]) -> DataFrame:
+    """``z`` with d, its distance over the deviations in the spam-directed half; a language without a correlation has independent features."""
+    size = len(FEATURES)
+    toward = [F.greatest(F.lit(0.0), F.col(f)) for f in FEATURES]
+    if not correlation:
+        return z.withColumn("d", F.sqrt(sum((t * t for t in toward), F.lit(0.0))))
+    cols = [f"i{j}" for j in range(size**2)]
+    rows = [(lang, *np.linalg.inv(m).ravel().tolist()) for lang, m in correlation.items()]
+    inverse = z.sparkSession.createDataFrame(rows, "lang string, " + ", ".join(f"{c} double" for c in cols))
+    d2 = sum((toward[i] * toward[j] * F.col(cols[i * size + j]) for i in range(size) for j in range(size)), F.lit(0.0))
+    return z.join(small(inverse), "lang").withColumn("d", F.sqrt(F.greatest(d2, F.lit(0.0)))).drop(*cols)
+
+
+def _frame(parts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Centre and scale of the features, per language."""
+    groups = parts.withColumn("lang", F.explode(F.array("lang", F.lit("*"))))
+    medians = {r["lang"]: (r["n"], np.array([r[f] for f in FEATURES])) for r in groups.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(f, 0.5, 2000).alias(f) for f in FEATURES)).collect()}  # one row per language, and one
+    if not medians:
+        return {}
+    centre = {lang: (n * m + CENTRE_STRETCHES * medians["*"][1]) / (n + CENTRE_STRETCHES) for lang, (n, m) in medians.items() if lang != "*"}
+    table = parts.sparkSession.createDataFrame([(lang, *m.tolist()) for lang, m in centre.items()], "lang string, " + ", ".join(f"m_{f} double" for f in FEATURES))
+    off = parts.join(small(table), "lang").select(F.explode(F.array("lang", F.lit("*"))).alias("lang"), *((F.col(f) - F.col(f"m_{f}")).alias(f) for f in FEATURES))
+    over = lambda f: F.when(F.col(f) > 1e-9, F.col(f))
+    widths = off.groupBy("lang").agg(*(F.percentile_approx(F.greatest(F.lit(0.0), F.col(f)), CLEAN, 2000).alias(f"q_{f}") for f in FEATURES), *(F.percentile_approx(over(f), ONCE, 2000).alias(f"u_{f}") for f in FEATURES)).collect()
+    # a mark is a mark: the size of one occurrence is taken over all three kinds
+    marks = off.select("lang", F.explode(F.array(*(over(f) for f in MARKS))).alias("x")).where("x is not null").groupBy("lang").agg(F.percentile_approx("x", ONCE, 2000).alias("u")).collect()
+    once = {r["lang"]: r["u"] for r in marks}
+    normal = NormalDist().inv_cdf(CLEAN)
+    own = {r["lang"]: np.array([math.hypot(r[f"q_{f}"] / normal, (once.get(r["lang"]) if f in MARKS else r[f"u_{f}"]) or 0.0) for f in FEATURES]) for r in widths}
+
+    def pooled(mine: np.ndarray, n: int, other: np.ndarray) -> np.ndarray:
+        mine = np.where(mine > 0, mine, other)
+        return np.exp((n * np.log(mine) + PRIOR_STRETCHES * np.log(other)) / (n + PRIOR_STRETCHES))
+
+    every = pooled(own["*"], medians["*"][0], np.array([PRIOR[f] for f in FEATURES]))
+    return {lang: (centre[lang], pooled(own[lang], medians[lang][0], every)) for lang in centre}
 
 
 def spam_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", cutoff: float = 4.5) -> DataFrame:
     """(doc_id, lang, n_stretches, spam_share, worst, is_spam), one row per document with a word or link.
 
-    Rows with a null id or text are dropped, blank texts have no row; a null or unknown language is
-    taken to be the one whose function words are most frequent. Repeated rows of an id must be settled
-    before. A language with one stretch, or an empty table, is no error: scales have lower bounds.
+    Rows with a null id or text are dropped, blank texts have no row. Languages are compared by their first two or three letters; one
+    that has no list of function words gets one learned from its documents, a null or otherwise unknown one is
+    taken to be the language whose function words are most frequent. Repeated rows of an id must be settled
+    before. Scales hold while no more than 1 - CLEAN of a language's stretches are spam. A language with one stretch, or an
+    empty table, is no error: its centre and scales are those of all languages, and at first the PRIOR ones.
     """
     spark = documents.sparkSession
-    kept = documents.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and length(trim(text)) > 0")
-    kept = kept.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    code = F.regexp_extract(F.lower(F.col(lang_col).cast("string")), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
+    kept = documents.select(F.col(id_col).alias("doc_id"), F.nullif(code, F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and length(trim(text)) > 0")
+    lists = _SETS | _learned(kept)
     schema = f"doc_id {documents.schema[id_col].dataType.simpleString()}, lang string, chars long, " + ", ".join(f"{f} double" for f in FEATURES)
-    parts = materialize(kept.mapInPandas(_measure, schema))
-    # a language with few stretches is held against those of all languages
-    enough = [r["lang"] for r in parts.groupBy("lang").count().where(F.col("count") >= FEW).collect()]  # known languages only
-    groups = parts.withColumn("lang", F.explode(F.array(F.when(F.col("lang").isin(enough), F.col("lang")), F.lit("*")))).where("lang is not null")
-    centre = groups.groupBy("lang").agg(*(F.percentile_approx(f, 0.5, 2000).alias(f"m_{f}") for f in FEATURES))  # one row per known language, and one
-    off = groups.join(F.broadcast(centre), "lang")
-    scale = off.groupBy("lang").agg(*(F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), 0.5, 2000).alias(f"s_{f}") for f in FEATURES))
-    scale = scale.select("lang", *(F.greatest(F.lit(1.4826) * F.col(f"s_{f}"), F.lit(LEAST_SCALE[f])).alias(f"s_{f}") for f in FEATURES))
-    frame = materialize(centre.join(scale, "lang"))
-    standard = lambda df, by: df.join(F.broadcast(frame.withColumnRenamed("lang", "by")), by == F.col("by")).select("doc_id", "lang", "by", "chars", *(((F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}")).alias(f) for f in FEATURES))
-    z = standard(groups, F.col("lang"))
-    clip = lambda f: F.greatest(F.lit(-2.5), F.least(F.lit(2.5), F.col(f)))
-    pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
-    seen = z.groupBy("lang").agg(*(F.avg(clip(FEATURES[i]) * clip(FEATURES[j])).alias(f"c{i}_{j}") for i, j in pairs)).collect()  # one row per known language
-    inverse = []
-    for r in seen:
-        m = np.eye(len(FEATURES))
-        for i, j in pairs:
-            size = math.sqrt(r[f"c{i}_{i}"] * r[f"c{j}_{j}"])
-            if i != j and size > 0:
-                # half way to independence keeps the inverse tame where a feature is nearly constant
-                m[i, j] = m[j, i] = r[f"c{i}_{j}"] / size / 2
-        inverse.append((r["lang"], *np.linalg.inv(m).ravel().tolist()))
-    cols = [f"i{j}" for j in range(len(FEATURES) ** 2)]
-    table = spark.createDataFrame(inverse, "by string, " + ", ".join(f"{c} double" for c in cols))
-    toward = [F.greatest(F.lit(0.0), F.col(f)) for f in FEATURES]
-    d2 = sum((toward[i] * toward[j] * F.col(cols[i * len(FEATURES) + j]) for i in range(len(FEATURES)) for j in range(len(FEATURES))), F.lit(0.0))
-    each = standard(parts, F.when(F.col("lang").isin(enough), F.col("lang")).otherwise("*"))
-    scored = each.join(F.broadcast(table), "by").select("doc_id", "lang", "chars", F.sqrt(F.greatest(d2, F.lit(0.0))).alias("d"))
-    out = scored.groupBy("doc_id").agg(F.first("lang").alias("lang"), F.count(F.lit(1)).alias("n_stretches"), (F.sum(F.when(F.col("d") > cutoff, F.col("chars")).otherwise(0)) / F.sum("chars")).alias("spam_share"), F.max("d").alias("worst"))
+    parts = materialize(spread(kept).mapInPandas(_measure(lists), schema))
+    frame = _frame(parts)
+    cols = [f"{k}_{f}" for k in "ms" for f in FEATURES]
+    table = spark.createDataFrame([(lang, *m.tolist(), *s.tolist()) for lang, (m, s) in frame.items()], "lang string, " + ", ".join(f"{c} double" for c in cols))
+    z = parts.join(small(table), "lang").select("doc_id", "lang", "chars", *(((F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}")).alias(f) for f in FEATURES))
+    correlation: dict[str, np.ndarray] = {}
+    for _ in range(STEPS):
+        near = _with_distance(z, correlation)
+        edge = near.groupBy("lang").agg(F.percentile_approx("d", CLEAN, 2000).alias("edge"))
+        correlation = _correlation(near.join(small(edge), "lang").where("d <= edge"))
+    out = _with_distance(z, correlation).groupBy("doc_id").agg(F.min("lang").alias("lang"), F.count(F.lit(1)).alias("n_stretches"), (F.sum(F.when(F.col("d") > cutoff, F.col("chars")).otherwise(0)) / F.sum("chars")).alias("spam_share"), F.max("d").alias("worst"))
     return out.select("doc_id", "lang", "n_stretches", F.round("spam_share", 6).alias("spam_share"), F.round("worst", 4).alias("worst"), (F.col("spam_share") > 0.5).alias("is_spam"))
