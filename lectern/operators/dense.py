@@ -1,21 +1,21 @@
-"""Exact top-k by cosine of a stated query set against all rows, in blocks."""
+"""Top-k by cosine of a stated query set against all rows: exactly, in blocks, or by hashed signs of random projections."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.relational import top
-from lectern.runtime import materialize
+from lectern.operators.running import CELLS, Running
+from lectern.runtime import materialize, narrowed
 
-#: Bytes of query vectors that are sent to the tasks at once; a larger query set is searched in parts.
-QUERY_BYTES = 32 << 20
+#: Bytes of query vectors, and of the hits kept for them, that a task holds at once; a larger query set is searched in parts.
+QUERY_BYTES = 64 << 20
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -30,22 +30,28 @@ def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _best(queries: dict[int, tuple[pa.Array, np.ndarray]], k: int):
-    """For each batch of the corpus, one matrix product per vector length; equal scores at the edge stay, as ids settle them."""
+    """The k best rows of a task for each query, per vector length; the product is made in tiles of CELLS cells at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {dim: Running(len(ids), k) for dim, (ids, _) in queries.items()}
+        kind = None
         for batch in batches:
             dims = batch.column("dim").to_numpy()
+            kind = batch.column("id").type
             for dim in np.unique(dims).tolist():
                 if dim not in queries:
                     continue
-                ids, matrix = queries[dim]
-                own = batch.filter(pa.array(dims == dim))
-                x = _unit(own.column("v").flatten().to_numpy().reshape(-1, dim))
-                s = np.round(matrix @ x.T, 9)
-                at = max(0, s.shape[1] - (k + 1))
-                edge = np.partition(s, at, axis=1)[:, at : at + 1]
-                i, j = np.nonzero(s >= edge)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), own.column("id").take(pa.array(j)), pa.array(s[i, j])], ["query_id", "id", "score"])
+                matrix, own = queries[dim][1], batch.filter(pa.array(dims == dim))
+                ids, flat, held = own.column("id").to_numpy(zero_copy_only=False), own.column("v").flatten().to_numpy().reshape(-1, dim), best[dim]
+                for low in range(0, len(ids), 1024):
+                    x = _unit(flat[low : low + 1024]).T
+                    step = max(1, CELLS // x.shape[1])
+                    for lo in range(0, len(matrix), step):
+                        s = np.round(matrix[lo : lo + step] @ x, 9)
+                        i, j = np.nonzero(s >= held.edge[lo : lo + step, None])
+                        held.add(i + lo, s[i, j], ids[low + j])
+        for dim, held in best.items():
+            yield from held.batches(queries[dim][0], kind)
 
     return run
 
@@ -53,14 +59,15 @@ def _best(queries: dict[int, tuple[pa.Array, np.ndarray]], k: int):
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id", vector_col: str = "vector", itself: bool = False) -> DataFrame:
     """(query_id, id, score, rank): the k most similar rows of ``corpus`` for each query, ties by id.
 
-    The queries go to the tasks in parts of QUERY_BYTES at most; each batch of the corpus meets a part in one matrix
-    product and keeps its best k only, so what is shuffled is k rows per query and batch. Vectors of another
+    The queries go to the tasks in parts of QUERY_BYTES at most; the corpus meets a part in tiles of one matrix
+    product each, and a task puts out a query's best once, so what is shuffled is k rows per query and task. Vectors of another
     length than the query's, invalid ones and, unless ``itself``, rows with the query's id don't count.
     """
     q = materialize(_valid(queries, query_id, vector_col).withColumn("dim", F.size("v")))
-    rows = _valid(corpus, id_col, vector_col).withColumn("dim", F.size("v"))
+    rows = narrowed(_valid(corpus, id_col, vector_col).withColumn("dim", F.size("v")))
     schema = f"query_id {q.schema['id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
-    n = q.agg(F.ceil(F.coalesce(F.sum("dim"), F.lit(0)) * 8 / QUERY_BYTES).cast("int").alias("n")).first()["n"]
+    kept = k if itself else k + 1
+    n = q.agg(F.ceil(F.coalesce(F.sum(F.col("dim") + 2 * kept), F.lit(0)) * 8 / QUERY_BYTES).cast("int").alias("n")).first()["n"]
     found = None
     for part in range(max(1, n)):
         own = q.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n))) == part).toArrow()
@@ -69,17 +76,62 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "
         for dim in np.unique(sizes).tolist():
             t = own.filter(pa.array(sizes == dim)).combine_chunks()
             held[dim] = t.column("id").combine_chunks(), _unit(t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim))
-        hits = rows.mapInArrow(_best(held, k), schema)
+        hits = rows.mapInArrow(_best(held, kept), schema)
         found = hits if found is None else found.union(hits)
     if not itself:
         found = found.where(F.col("query_id") != F.col("id"))
     return top(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
-def lsh_topk(queries: DataFrame, corpus: DataFrame, k: int, distance: float, query_id: str = "query_id", id_col: str = "id", vector_col: str = "vector", tables: int = 12, width: float = 1.0) -> DataFrame:
-    """The approximate alternative: bucketed random projections of unit vectors, joined within a distance."""
-    unit = lambda df, i: _valid(df, i, vector_col).select("id", array_to_vector(F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y)))).alias("features"))
-    q, c = unit(queries, query_id), unit(corpus, id_col)
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=7).fit(c)
-    near = model.approxSimilarityJoin(q, c, distance, "distance").select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), (1 - F.col("distance") ** 2 / 2).alias("score")).where("query_id <> id")
-    return top(near, ["query_id"], [F.desc("score"), F.asc("id")], k)
+def hash_shape(distance: float, recall: float, tables: int) -> tuple[int, int]:
+    """(bits of a table, tables): the most bits with which ``tables`` tables at most meet a pair of unit vectors at ``distance`` with probability ``recall``."""
+    agree = 1 - math.acos(max(-1.0, min(1.0, 1 - distance**2 / 2))) / math.pi
+    if agree <= 0:
+        raise ValueError("the distance must be below that of opposite vectors")
+    needed = lambda bits: max(1, math.ceil(math.log(1 - recall) / math.log1p(-(agree**bits)))) if agree < 1 else 1
+    bits = max((b for b in range(1, 31) if needed(b) <= tables), default=1)
+    return bits, needed(bits)
+
+
+def _signs(bits: int, tables: int, seed: int, name: str):
+    weight = (1 << np.arange(bits)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                own = batch.filter(pa.array(dims == dim))
+                if dim not in planes:
+                    planes[dim] = np.random.default_rng((seed, dim)).standard_normal((dim, bits * tables))
+                x = own.column("v").flatten().to_numpy().reshape(-1, dim)
+                keys = (x @ planes[dim] > 0).reshape(len(x), tables, bits) @ weight
+                keys += np.arange(tables) << bits
+                yield pa.RecordBatch.from_arrays([own.column("id").take(pa.array(np.repeat(np.arange(len(x)), tables))), pa.array(keys.ravel()), pa.array(np.full(keys.size, dim, dtype=np.int32))], [name, "key", "dim"])
+
+    return run
+
+
+def lsh_candidates(queries: DataFrame, corpus: DataFrame, distance: float, recall: float = 0.95, tables: int = 48, seed: int = 7) -> DataFrame:
+    """(query_id, id): the pairs that agree in all signs of some table; of vectors of one length only."""
+    bits, n = hash_shape(distance, recall, tables)
+    kind = lambda df: df.schema["id"].dataType.simpleString()
+    q = queries.mapInArrow(_signs(bits, n, seed, "query_id"), f"query_id {kind(queries)}, key long, dim int")
+    c = corpus.mapInArrow(_signs(bits, n, seed, "id"), f"id {kind(corpus)}, key long, dim int")
+    return q.join(c, ["key", "dim"]).select("query_id", "id").distinct()
+
+
+def lsh_topk(queries: DataFrame, corpus: DataFrame, k: int, distance: float, query_id: str = "query_id", id_col: str = "id", vector_col: str = "vector", tables: int = 48, recall: float = 0.95) -> DataFrame:
+    """The approximate alternative: (query_id, id, score, rank) of the k most similar rows within ``distance`` (of unit vectors).
+
+    Signs of random projections are the keys of at most ``tables`` tables, with as many bits as the wanted recall at that
+    distance allows, so the nearer the wanted rows are, the fewer pairs are met. A row within the distance
+    is met with probability ``recall`` at least; exact scores decide among those met. ``cosine_topk`` is the exact way. Ids must be unique.
+    """
+    q = materialize(_valid(queries, query_id, vector_col).withColumn("dim", F.size("v")))
+    c = _valid(corpus, id_col, vector_col).withColumn("dim", F.size("v"))
+    met = lsh_candidates(q, c, distance, recall, tables).where("query_id <> id")
+    both = met.join(q.select(F.col("id").alias("query_id"), F.col("v").alias("a")), "query_id").join(c.select("id", F.col("v").alias("b")), "id")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, r: p * r), F.lit(0.0), lambda s, z: s + z)
+    scored = both.select("query_id", "id", F.round(dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b")), 9).alias("score"))
+    return top(scored.where(F.col("score") >= 1 - distance**2 / 2), ["query_id"], [F.desc("score"), F.asc("id")], k)

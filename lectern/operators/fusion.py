@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.relational import top
@@ -26,11 +26,14 @@ def fuse(lists: DataFrame, weights: dict[str, float], k: int = 60, limit: int |
     ranks = F.map_from_entries(F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("key"), F.array_max(F.transform(F.filter("h", lambda x: x["n"] == n), lambda x: x["r"])).alias("value"))))
     first = F.element_at("h", 1)
     fused = grouped.select(query_id, key, F.round(score, 9).alias("rrf_score"), names.alias("sources"), ranks.alias("source_ranks"), (F.size(F.array_distinct(names)) > 1).alias("in_both"), first["l"].alias("__l"), first["r"].alias("__r"), *(first[c].alias(c) for c in payload))
-    ranked = top(fused, [query_id], [F.desc("rrf_score"), F.asc("__l"), F.asc("__r")], limit or 1 << 30)
+    order_by = [F.desc("rrf_score"), F.asc("__l"), F.asc("__r")]
+    ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*order_by))) if limit is None else top(fused, [query_id], order_by, limit)
     return ranked.drop("__l", "__r")
 
 
-def counts(lists: DataFrame, fused: DataFrame, query_id: str = "query_id", sparse: str = "sparse", dense: str = "dense") -> DataFrame:
-    """Hits of each list and fused references per query."""
+def counts(lists: DataFrame, fused: DataFrame | None = None, query_id: str = "query_id", sparse: str = "sparse", dense: str = "dense") -> DataFrame:
+    """Hits of each list per query and, with ``fused``, fused references."""
     n = lists.groupBy(query_id).agg(F.count(F.when(F.col("source") == sparse, 1)).alias("sparse_count"), F.count(F.when(F.col("source") == dense, 1)).alias("dense_count"))
+    if fused is None:
+        return n
     return n.join(fused.groupBy(query_id).agg(F.count(F.lit(1)).alias("fusion_count")), query_id, "left").withColumn("fusion_count", F.coalesce("fusion_count", F.lit(0)))

@@ -22,9 +22,11 @@ def overlap_judge(query: Column, text: Column) -> Column:
 
 def judge_pairs(pairs: DataFrame, judge: Judge = overlap_judge, lenient: bool = False, query: str = "query", text: str = "text") -> DataFrame:
     """``pairs`` with score and reasoning. Each pair of texts is judged once, however many methods retrieved it; the rank stays on the row, so order needs no restoring."""
-    key = F.xxhash64(query, text)
+    # 128 bits over both texts, null and empty told apart
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.md5(c)), F.lit("-"))
+    key = F.md5(F.concat(part(query), part(text)))
     parse = T.parse_judgment_lenient if lenient else T.parse_judgment
-    once = pairs.groupBy(key.alias("__k")).agg(F.first(query).alias("__q"), F.first(text).alias("__t")).select("__k", parse(judge(F.col("__q"), F.col("__t"))).alias("__j"))
+    once = pairs.groupBy(key.alias("__k")).agg(F.min(query).alias("__q"), F.min(text).alias("__t")).select("__k", parse(judge(F.col("__q"), F.col("__t"))).alias("__j"))
     return pairs.withColumn("__k", key).join(once, "__k").select(*pairs.columns, F.col("__j.score").alias("score"), F.col("__j.reasoning").alias("reasoning"))
 
 

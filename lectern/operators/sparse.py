@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators.relational import top
-from lectern.runtime import materialize
+from lectern.operators.running import CELLS, Running
+from lectern.runtime import materialize, narrowed
 
-#: Query terms that are sent to the tasks at once; a larger query set is searched in parts.
-QUERY_TERMS = 2_000_000
+#: Query terms, and hits kept, that a task holds at once; a larger query set is searched in parts.
+QUERY_TERMS = 4_000_000
 
 
 def inverted_index(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -27,12 +28,14 @@ def inverted_index(docs: DataFrame, id_col: str = "id", text_col: str = "text")
 
 
 def _scores(queries: pa.Array, terms: dict[str, tuple[float, np.ndarray]], k: int, avgdl: float, k1: float, b: float):
-    """For each stretch of documents one table of scores, queries by documents; only the best of each query leave the task."""
+    """The k best documents of a task for each query. Scores are made in tables of CELLS cells at most, queries by documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, 4_000_000 // max(1, len(queries)))
+        best, kind = Running(len(queries), k), None
+        step = max(1, CELLS // max(1, len(queries)))
         for batch in batches:
-            texts = batch.column("w").to_pylist()
+            texts, kind = batch.column("w").to_pylist(), batch.column("id").type
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
             for lo in range(0, len(texts), step):
                 part = texts[lo : lo + step]
                 s = np.zeros((len(part), len(queries)))
@@ -41,11 +44,10 @@ def _scores(queries: pa.Array, terms: dict[str, tuple[float, np.ndarray]], k: in
                     for term, tf in Counter(words).items():
                         if hit := terms.get(term):
                             s[row, hit[1]] += hit[0] * tf * (k1 + 1) / (tf + norm)
-                s = np.round(s.T, 9)
-                at = max(0, s.shape[1] - k)
-                # equal scores at the edge stay, as ids settle them
-                i, j = np.nonzero((s >= np.partition(s, at, axis=1)[:, at : at + 1]) & (s > 0))
-                yield pa.RecordBatch.from_arrays([queries.take(pa.array(i)), batch.column("id").take(pa.array(j + lo)), pa.array(s[i, j])], ["query_id", "id", "score"])
+                s = np.round(s, 9)
+                j, i = np.nonzero((s > 0) & (s >= best.edge))
+                best.add(i, s[j, i], ids[lo + j])
+        yield from best.batches(queries, kind)
 
     return run
 
@@ -58,12 +60,12 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "quer
     some query has. Null ids are dropped; a query without a known word has no rows.
     """
     q = materialize(queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).alias("id"), F.array_distinct(T.tokens(query_text)).alias("terms")).where(F.size("terms") > 0))
-    words = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), T.tokens(text_col).alias("w"))
+    words = narrowed(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), T.tokens(text_col).alias("w")))
     size = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl")).first()
     n, avgdl = size["n"], size["avgdl"] or 1.0
     vocabulary = q.select(F.explode("terms").alias("term")).distinct()
     df = materialize(words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(vocabulary, "term"))
-    parts = max(1, q.agg(F.ceil(F.coalesce(F.sum(F.size("terms")), F.lit(0)) / QUERY_TERMS).cast("int").alias("p")).first()["p"])
+    parts = max(1, q.agg(F.ceil(F.coalesce(F.sum(F.size("terms") + k), F.lit(0)) / QUERY_TERMS).cast("int").alias("p")).first()["p"])
     schema = f"query_id {q.schema['id'].dataType.simpleString()}, id {words.schema['id'].dataType.simpleString()}, score double"
     found = None
     for p in range(parts):

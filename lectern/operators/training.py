@@ -101,7 +101,7 @@ def pair_features(rows: DataFrame, query: str = "query", text: str = "document")
     """Lexical features of (query, text), all as expressions."""
     q, t = F.array_distinct(T.tokens(query)), F.array_distinct(T.tokens(text))
     both = F.size(F.array_intersect(q, t)).cast("double")
-    grams = lambda c: F.zip_with(T.tokens(c), F.slice(T.tokens(c), 2, 1 << 20), lambda a, b: F.concat_ws(" ", a, b))
+    grams = lambda c: F.zip_with(T.tokens(c), F.slice(T.tokens(c), F.lit(2), F.greatest(F.size(T.tokens(c)), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
     return rows.withColumns({
         "f_overlap": F.coalesce(F.try_divide(both, F.size(q).cast("double")), F.lit(0.0)), "f_jaccard": F.coalesce(F.try_divide(both, F.size(F.array_union(q, t)).cast("double")), F.lit(0.0)),
         "f_phrase": F.size(F.array_intersect(grams(query), grams(text))).cast("double"), "f_length": F.log1p(T.token_count(text).cast("double")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -183,9 +183,10 @@ def rrf_fusion(spark, d):
 
 
 def hybrid_rrf(spark, d):
-    both = _both_lists(spark, d)
-    c = fusion.counts(both, _fused(spark, d))
-    return _fused(spark, d, 20).join(c, "query_id").select("query_id", "reference", _r("rrf_score").alias("rrf_score"), F.col("rank").cast("long").alias("rank"), "sparse_count", "dense_count", "fusion_count", T.scored_label("reference", "rrf_score", "in_both").alias("label"))
+    whole = _fused(spark, d)
+    n = fusion.counts(_both_lists(spark, d))
+    fused = whole.withColumn("fusion_count", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).where("rank <= 20")
+    return fused.join(n, "query_id").select("query_id", "reference", _r("rrf_score").alias("rrf_score"), F.col("rank").cast("long").alias("rank"), "sparse_count", "dense_count", "fusion_count", T.scored_label("reference", "rrf_score", "in_both").alias("label"))
 
 
 def _hits(spark, d, method):

@@ -86,9 +86,11 @@ class Retrieval:
         return self._rerank(self.contextual(initial), n, "contextual_custom_rerank", self.custom)
 
     def fused(self, k: int, limit: int) -> DataFrame:
-        both = self.sparse(k).unionByName(self.dense(k)).drop("method")
-        out = fusion.fuse(both, {"sparse": SPARSE_WEIGHT, "dense": DENSE_WEIGHT}, RRF_K, limit)
-        return out.withColumnsRenamed({"score": "first_score", "rrf_score": "score"}).drop("first_score")
+        """Ids are fused; texts join only what survives."""
+        both = self._sparse(k).withColumn("source", F.lit("sparse")).unionByName(self._dense("context", k).withColumn("source", F.lit("dense")))
+        named = both.join(self.passages.select("id", "reference"), "id").drop("score")
+        out = fusion.fuse(named, {"sparse": SPARSE_WEIGHT, "dense": DENSE_WEIGHT}, RRF_K, limit).withColumnRenamed("rrf_score", "score")
+        return out.join(self.passages.drop("reference"), "id").join(self.queries, "query_id")
 
     def hybrid_rrf(self, k: int = 50, n: int = 20) -> DataFrame:
         return self.fused(k, n).withColumn("method", F.lit("hybrid_rrf"))

@@ -122,3 +122,9 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
         return df
     return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def narrowed(df: DataFrame, waves: int = 4) -> DataFrame:
+    """``df`` in at most ``waves`` tasks for each core, without a shuffle: for work whose tasks each put out a bounded result, so that there aren't more results than cores can use."""
+    most = waves * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(most) if df.rdd.getNumPartitions() > most else df
