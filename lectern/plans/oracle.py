@@ -19,15 +19,19 @@ def _w(c: str) -> str:
 
 
 def _metrics() -> str:
-    """One row per run: m."""
+    return metrics_of(H, "h", KS)
+
+
+def metrics_of(before: str, hits: str, ks: tuple[int, ...]) -> str:
+    """One row per run: m, from the tables r and ``hits`` that ``before`` makes."""
     n = "count(h.rank)"
     cols = []
-    for k in KS:
+    for k in ks:
         cols.append(f"CASE WHEN {n} >= {k} THEN count(CASE WHEN h.rank <= {k} AND h.grade >= 2 THEN 1 END) / {k}::double END AS p_{k}")
         dcg = f"coalesce(sum(CASE WHEN h.rank <= {k} THEN (pow(2, h.grade) - 1) / log2(h.rank + 1) END), 0)"
         ideal = f"coalesce(sum(CASE WHEN h.ideal <= {k} THEN (pow(2, h.grade) - 1) / log2(h.ideal + 1) END), 0)"
         cols.append(f"CASE WHEN {n} >= {k} THEN CASE WHEN {ideal} > 0 THEN {dcg} / {ideal} ELSE 0 END END AS ndcg_{k}")
-    return f"""{H}, hi AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY grade DESC, rank) AS ideal FROM h),
+    return f"""{before}, hi AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY grade DESC, rank) AS ideal FROM {hits}),
     m AS (SELECT r.run_id, r.method, r.query_id, any_value(r.query) AS query, any_value(r.latency_ms) AS latency_ms, {', '.join(cols)},
       coalesce(1.0::double / min(CASE WHEN h.grade >= 2 THEN h.rank END), 0) AS rr, coalesce(avg(h.grade), 0) AS avg_relevance,
       count(CASE WHEN h.grade >= 2 THEN 1 END) AS num_relevant, {n} AS num_retrieved
@@ -40,9 +44,14 @@ def _aggregate() -> str:
 
 
 def _tests(pairs: str) -> str:
+    return tests_of(_metrics(), pairs)
+
+
+def tests_of(before: str, pairs: str) -> str:
+    """Paired tests: o, from the table m that ``before`` makes."""
     odd = "2 / pi() * (th + CASE WHEN df > 1 THEN sin(th) * cos(th) * list_sum(list_transform(range(0, (df - 3) // 2 + 1), lambda k: exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)) * pow(cos(th), 2 * k))) ELSE 0 END)"
     even = "sin(th) * list_sum(list_transform(range(0, df // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1)) * pow(cos(th), 2 * k)))"
-    return f"""{_metrics()}, v AS (UNPIVOT (SELECT method, query_id, avg(coalesce(avg_relevance, 0)) AS avg_relevance, avg(coalesce(rr, 0)) AS rr, avg(coalesce(p_5, 0)) AS p_5, avg(coalesce(ndcg_10, 0)) AS ndcg_10 FROM m GROUP BY 1, 2) ON avg_relevance, rr, p_5, ndcg_10 INTO NAME metric VALUE value),
+    return f"""{before}, v AS (UNPIVOT (SELECT method, query_id, avg(coalesce(avg_relevance, 0)) AS avg_relevance, avg(coalesce(rr, 0)) AS rr, avg(coalesce(p_5, 0)) AS p_5, avg(coalesce(ndcg_10, 0)) AS ndcg_10 FROM m GROUP BY 1, 2) ON avg_relevance, rr, p_5, ndcg_10 INTO NAME metric VALUE value),
     w(method_a, method_b) AS (VALUES {pairs}),
     j AS (SELECT w.method_a, w.method_b, va.metric, va.value AS a, vb.value AS b, vb.value - va.value AS d FROM w JOIN v va ON va.method = w.method_a JOIN v vb ON vb.method = w.method_b AND vb.query_id = va.query_id AND vb.metric = va.metric),
     st AS (SELECT method_a, method_b, metric, count(*) AS n, avg(a) AS mean_a, avg(b) AS mean_b, avg(d) AS md, stddev_samp(d) AS sd FROM j GROUP BY 1, 2, 3),
