@@ -41,6 +41,20 @@ def nest(passages: DataFrame) -> DataFrame:
     return chapters(passages).select("volume", F.array(F.struct("book", F.array(c).alias("chapters"))).alias("books"))
 
 
+def nest_books(passages: DataFrame) -> DataFrame:
+    """One canonical document per book, chapters in numeric order; bounded by the longest book."""
+    c = F.struct("chapter", F.col("chapter_ref").alias("reference"), "verses")
+    books = chapters(passages).groupBy("volume", "book").agg(F.sort_array(F.collect_list(c)).alias("chapters"))
+    return books.select("volume", F.array(F.struct("book", "chapters")).alias("books"))
+
+
+def nest_summaries(summaries: DataFrame) -> DataFrame:
+    """The summaries' nested shape: one row per volume, books by name, chapters by number. A summary a chapter, so a volume fits a row."""
+    c = F.struct("chapter", F.col("chapter_ref").alias("reference"), F.col("verse_count").cast("int").alias("verse_count"), "summary")
+    books = summaries.groupBy("volume", "book").agg(F.sort_array(F.collect_list(c)).alias("chapters"))
+    return books.groupBy("volume").agg(F.sort_array(F.collect_list(F.struct("book", "chapters"))).alias("books"))
+
+
 def normalize_sections(df: DataFrame, book: str) -> DataFrame:
     """The sectioned format as one canonical book; already canonical input has no ``sections`` and isn't accepted twice."""
     chapter = F.transform("sections", lambda s: F.struct(s["section"].alias("chapter"), s["reference"].alias("reference"), s["verses"].alias("verses")))

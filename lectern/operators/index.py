@@ -15,9 +15,15 @@ def records(passages: DataFrame, vector: str | None = None) -> DataFrame:
     return passages.select(T.slug(F.coalesce("reference", F.lit("Unknown"))).alias("id"), *([F.col(vector).alias("values")] if vector else []), meta.alias("metadata"))
 
 
-def upsert(index: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
-    """``index`` after inserting or replacing by id; the last row of an id in the batch counts."""
-    return merge(index, latest(batch, "id", order), "id")
+def text_records(rows: DataFrame, namespace: str, id_col: str = "_id", text_col: str = "content") -> DataFrame:
+    """(namespace, id, text, other columns): text rows of one namespace, to be embedded where they are searched."""
+    rest = [c for c in rows.columns if c not in (id_col, text_col)]
+    return rows.where(F.col(id_col).isNotNull()).select(F.lit(namespace).alias("namespace"), F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
+
+
+def upsert(index: DataFrame, batch: DataFrame, order: list[str], key: str | list[str] = "id") -> DataFrame:
+    """``index`` after inserting or replacing by ``key``; the last row of a key in the batch counts. With a namespace in the key an id is its own in each."""
+    return merge(index, latest(batch, key, order), key)
 
 
 def stats(index: DataFrame, namespace: str = "metadata.volume") -> DataFrame:

@@ -19,9 +19,10 @@ def latest(df: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, *(F.col(f"__best.{c}").alias(c) for c in order + rest)).select(*df.columns)
 
 
-def merge(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def merge(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
     """Insert or replace by key: all of ``new``, and what it doesn't replace of ``old``."""
-    return new.unionByName(old.join(new.select(key), key, "left_anti"))
+    keys = [key] if isinstance(key, str) else key
+    return new.unionByName(old.join(new.select(*keys), keys, "left_anti"))
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:

@@ -6,12 +6,11 @@ import argparse
 import sys
 from collections.abc import Callable
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.operators import corpus, index
-from lectern.sources import providers
+from lectern.sources import providers, storage
 
 
 @dataclass(frozen=True)
@@ -22,7 +21,7 @@ class Stage:
 
 
 def _done(root: str, name: str) -> bool:
-    return (Path(root) / name / "_SUCCESS").exists()
+    return storage.complete(f"{root}/{name}")
 
 
 def default_stages(read: Callable[[SparkSession], DataFrame]) -> list[Stage]:

@@ -6,20 +6,31 @@ import json
 import os
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import corpus
+from lectern.sources import storage
 
 PASSAGE = "volume string, book string, chapter int, verse int, reference string, text string, context string"
 QUERY = "id string, query string, type string, expected_volumes array<string>, expected_topics array<string>"
 EXAMPLE = "query string, document string, reference string, label double, raw_score bigint, query_type string, reasoning string"
 HIT = "query_id string, method string, rank int, id string, score double, text string, reference string, volume string, context string, source string"
 #: A small labelled set to try an index with, and queries of four kinds.
-SAMPLES = [("rec1", "The keeper lit the tower before dawn.", "place"), ("rec2", "Bread was shared at the river crossing.", "food"), ("rec3", "A promise was written on the gate.", "covenant"), ("rec4", "Weavers sang while the rain fell.", "music")]
-QUICK_QUERIES = [("Q1", "the keeper lit the tower", "exact_phrase"), ("Q2", "promise written on the gate", "exact_phrase"), ("Q3", "why do weavers sing in the rain", "semantic"), ("Q4", "what does sharing bread mean", "doctrinal"), ("Q5", "who kept the tower", "character")]
+SAMPLES = [
+    ("rec1", "The keeper lit the tower before dawn.", "place"), ("rec2", "Bread was shared at the river crossing.", "food"), ("rec3", "A promise was written on the gate.", "covenant"), ("rec4", "Weavers sang while the rain fell.", "music"),
+    ("rec5", "The old bridge carried carts until the flood.", "place"), ("rec6", "Figs were dried on the flat roofs.", "food"), ("rec7", "Two villages swore to share one well.", "covenant"), ("rec8", "A horn answered from the far hill.", "music"),
+    ("rec9", "Lanterns marked the path to the harbour.", "place"), ("rec10", "Salt was weighed against barley.", "food"), ("rec11", "The elders kept the sealed letter.", "covenant"), ("rec12", "Children learned the harvest song.", "music"),
+]
+QUICK_QUERIES = [
+    ("exact_1", "the keeper lit the tower", "exact_phrase"), ("exact_2", "promise written on the gate", "exact_phrase"), ("exact_3", "salt was weighed against barley", "exact_phrase"),
+    ("semantic_1", "why do weavers sing in the rain", "semantic"), ("semantic_2", "how did people cross the water", "semantic"), ("semantic_3", "what lights the way at night", "semantic"),
+    ("doctrinal_1", "what does sharing bread mean", "doctrinal"), ("doctrinal_2", "why are oaths kept", "doctrinal"), ("doctrinal_3", "what is owed to a stranger", "doctrinal"),
+    ("character_1", "who kept the tower", "character"), ("character_2", "who kept the sealed letter", "character"),
+]
+#: One query of each of three kinds, shown as examples.
+SHOWN = ("exact_1", "semantic_1", "doctrinal_1")
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -99,7 +110,7 @@ class RunConfig:
 
 
 def run_config(path: str) -> RunConfig:
-    raw = json.loads(Path(path).read_text(encoding="utf-8"))
+    raw = json.loads(storage.read_text(path))
     metrics = raw.pop("metrics", {})
     known = {k: raw.pop(k) for k in ("top_k", "rerank_initial_k", "rerank_top_n", "relevance_threshold") if k in raw}
     lists = {k: tuple(metrics[k]) for k in ("precision_k_values", "ndcg_k_values") if k in metrics}
