@@ -141,7 +141,9 @@ def parse_response(text: Column | str) -> Column:
 
 
 def summary_prompt(unit: Column, volume: Column, book: Column, chapter: Column, reference: Column, verses: Column, body: Column) -> Column:
-    return F.concat(F.lit("Summarize this "), unit, F.lit(".\nVolume: "), volume, F.lit("\nBook: "), book, F.lit("\nChapter: "), chapter.cast("string"), F.lit("\nReference: "), reference, F.lit("\nVerses: "), verses.cast("string"), F.lit("\n\n"), F.initcap(unit), F.lit(" text:\n"), body)
+    """One head line, the text, and the task at the end."""
+    head = F.concat(F.lit("["), unit, F.lit(" "), chapter.cast("string"), F.lit(" of "), book, F.lit(", "), volume, F.lit("] "), reference, F.lit(". Verses: "), verses.cast("string"))
+    return F.concat(head, F.lit("\n\n"), body, F.lit("\n\nSay in two or three sentences what this "), unit, F.lit(" tells."))
 
 
 def relevance_prompt(query: Column, reference: Column, text: Column) -> Column:

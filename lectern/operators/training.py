@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -97,15 +99,19 @@ def pairs(rows: DataFrame) -> DataFrame:
 FEATURES = ["f_overlap", "f_jaccard", "f_phrase", "f_length"]
 
 
-def pair_features(rows: DataFrame, query: str = "query", text: str = "document") -> DataFrame:
-    """Lexical features of (query, text), all as expressions."""
+def _features(query: Column, text: Column) -> dict[str, Column]:
+    """Lexical features of a pair, all as expressions."""
     q, t = F.array_distinct(T.tokens(query)), F.array_distinct(T.tokens(text))
     both = F.size(F.array_intersect(q, t)).cast("double")
     grams = lambda c: F.zip_with(T.tokens(c), F.slice(T.tokens(c), F.lit(2), F.greatest(F.size(T.tokens(c)), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    return rows.withColumns({
+    return {
         "f_overlap": F.coalesce(F.try_divide(both, F.size(q).cast("double")), F.lit(0.0)), "f_jaccard": F.coalesce(F.try_divide(both, F.size(F.array_union(q, t)).cast("double")), F.lit(0.0)),
         "f_phrase": F.size(F.array_intersect(grams(query), grams(text))).cast("double"), "f_length": F.log1p(T.token_count(text).cast("double")),
-    })
+    }
+
+
+def pair_features(rows: DataFrame, query: str = "query", text: str = "document") -> DataFrame:
+    return rows.withColumns(_features(F.col(query), F.col(text)))
 
 
 def fit_reranker(rows: DataFrame, label: str = "label", seed: int = 42) -> PipelineModel:
@@ -119,3 +125,16 @@ def fit_reranker(rows: DataFrame, label: str = "label", seed: int = 42) -> Pipel
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     out = model.transform(pair_features(rows))
     return out.withColumn("prediction_score", vector_to_array("probability")[1]).select(*rows.columns, "prediction_score")
+
+
+def model_scorer(model: PipelineModel) -> Callable[[Column, Column], Column]:
+    """The fitted model as a reranking scorer: its probability as one expression, so that it runs where the hits are."""
+    fit = model.stages[-1]
+    weights = [float(w) for w in fit.coefficients]
+
+    def score(query: Column, text: Column) -> Column:
+        f = _features(query, text)
+        z = sum((F.lit(w) * f[name] for name, w in zip(FEATURES, weights, strict=True)), F.lit(float(fit.intercept)))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+    return score

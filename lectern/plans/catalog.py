@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import compare, corpus, dense, fusion, index, judge, metrics, report, rerank, sparse, training
 from lectern.operators.relational import batches, latest
-from lectern.plans import evaluation, oracle, oracle_search
+from lectern.plans import evaluation, oracle, oracle_artifacts, oracle_search
 from lectern.plans.methods import Retrieval
 from lectern.runtime import table
 from lectern.sources.readers import RunConfig
@@ -421,8 +421,10 @@ _ALL = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _ALL}
+    from lectern.plans import artifacts  # it builds on the queries above
+
+    return {f.__name__: f for f in _ALL} | artifacts.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracle.sql(), **oracle_search.sql()}
+    return {**oracle.sql(), **oracle_search.sql(), **oracle_artifacts.sql()}

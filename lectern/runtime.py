@@ -75,13 +75,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
+def scratch(spark: SparkSession) -> str:
+    """The path of a new folder in the shared one, deleted at exit."""
+    ship(spark)
+    path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, and safe against lost executors."""
     spark = df.sparkSession
-    ship(spark)
-    path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

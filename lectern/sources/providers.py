@@ -10,14 +10,17 @@ import hashlib
 import random
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
+from lectern.runtime import materialize
+
 Embedder = Callable[[list[str]], np.ndarray]
 Writer = Callable[[list[str]], list[str]]
 _WORD = re.compile(r"[^\W_]+")
@@ -87,6 +90,57 @@ def write_texts(df: DataFrame, prompt: str, writer: Writer, name: str, batch: in
     return df.mapInPandas(run, schema)
 
 
+PairModel = Callable[[list[tuple[str, str]]], Sequence[float]]
+
+
+def batched_scorer(load: Callable[[], PairModel], batch: int = 64, attempts: int = 6, least: float = 1.0) -> Callable[[Column, Column], Column]:
+    """A reranking scorer from a model of pairs. ``load`` is called once a task, the model on ``batch`` pairs at a time; both are tried again if they fail. Nulls are empty texts."""
+
+    def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = retrying(retrying(load, attempts, least)(), attempts, least)
+        for query, text in pairs:
+            both = list(zip(query.fillna(""), text.fillna(""), strict=True))
+            scores = [float(x) for at in range(0, len(both), batch) for x in model(both[at : at + batch])]
+            yield pd.Series(scores, dtype="float64")
+
+    return F.pandas_udf(run, "double")
+
+
+def word_jaccard(pairs: list[tuple[str, str]]) -> list[float]:
+    """A model of pairs that needs no training: common words by all words."""
+    out = []
+    for query, text in pairs:
+        q, t = set(_WORD.findall(query.lower())), set(_WORD.findall(text.lower()))
+        out.append(len(q & t) / len(q | t) if q | t else 0.0)
+    return out
+
+
+def generate_queries(spark: SparkSession, writer: Writer, count: int, batch: int = 50, rounds: int = 10) -> DataFrame:
+    """(query, type): ``count`` queries by a writer that answers in JSON, asked for ``batch`` at a time and again for what is missing, ``rounds`` times at most; fewer if it gives no more."""
+    found, have, number = None, 0, 0
+    for _ in range(rounds):
+        if have >= count:
+            break
+        asks = [(number + i, min(batch, count - have - i * batch)) for i in range(-(-(count - have) // batch))]
+        number += len(asks)
+        prompts = spark.createDataFrame(asks, "ask long, n int").withColumn("prompt", T.query_generation_prompt(F.col("n")))
+        said = write_texts(prompts, "prompt", writer, "answer").select("ask", F.posexplode(T.parse_queries("answer")).alias("at", "x")).select("ask", "at", "x.query", "x.type").where("query is not null")
+        said = materialize(said)
+        found = said if found is None else found.union(said)
+        have = found.count()
+    if found is None:
+        return spark.createDataFrame([], "query string, type string")
+    return found.orderBy("ask", "at").limit(count).select("query", "type")  # the number asked for
+
+
+def answer_with(hits: DataFrame, queries: DataFrame, writer: Writer, n: int = 20) -> DataFrame:
+    """(query_id, answer) by a writer from each query's first n hits; a query without hits is asked without passages."""
+    docs = hits.where(F.col("rank") <= n).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "reference", "text"))), lambda x: F.struct(x["reference"].alias("reference"), x["text"].alias("text"))).alias("d"))
+    none = F.array().cast("array<struct<reference:string,text:string>>")
+    asked = queries.join(docs, "query_id", "left").select("query_id", T.answer_prompt(F.coalesce("query", F.lit("")), F.coalesce("d", none)).alias("prompt"))
+    return write_texts(asked, "prompt", writer, "answer").select("query_id", "answer")
+
+
 def extractive_answer(hits: DataFrame, n: int = 3) -> DataFrame:
     """The default responder: each query's first n hits, cited."""
     best = hits.where(F.col("rank") <= n).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "reference", "text"))).alias("d"))

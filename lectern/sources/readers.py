@@ -33,39 +33,42 @@ QUICK_QUERIES = [
 SHOWN = ("exact_1", "semantic_1", "doctrinal_1")
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def _json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """One document per file, or with ``lines`` one per line, which large folders of many documents should have."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
-def canonical(spark: SparkSession, path: str, volume: str) -> DataFrame:
-    """Flat verses of a canonical corpus file or folder."""
-    return corpus.flatten(_json(spark, path, corpus.CANONICAL), F.lit(volume))
+def canonical(spark: SparkSession, path: str, volume: str | None, lines: bool = False) -> DataFrame:
+    """Flat verses of a canonical corpus file or folder; without a ``volume`` that of the documents or their folder's name counts."""
+    if volume is None:
+        return corpus.flatten(_json(spark, path, f"{corpus.CANONICAL}, volume string", lines))
+    return corpus.flatten(_json(spark, path, corpus.CANONICAL, lines), F.lit(volume))
 
 
-def sectioned(spark: SparkSession, path: str, volume: str) -> DataFrame:
+def sectioned(spark: SparkSession, path: str, volume: str, lines: bool = False) -> DataFrame:
     """Flat verses of a sectioned corpus; a file without sections (one already canonical) gives none rather than being overwritten."""
-    return corpus.flatten(corpus.normalize_sections(_json(spark, path, corpus.SECTIONED).where("sections is not null"), volume), F.lit(volume))
+    return corpus.flatten(corpus.normalize_sections(_json(spark, path, corpus.SECTIONED, lines).where("sections is not null"), volume), F.lit(volume))
 
 
-def mapped(spark: SparkSession, path: str, volume: str) -> DataFrame:
+def mapped(spark: SparkSession, path: str, volume: str, lines: bool = False) -> DataFrame:
     """Flat verses of the {book: {chapter: {verse: text}}} format."""
-    raw = spark.read.text(path, wholetext=True).select(F.lit(volume).alias("volume"), F.col("value").alias("raw"))
+    raw = spark.read.text(path, wholetext=not lines).select(F.lit(volume).alias("volume"), F.col("value").alias("raw"))
     return corpus.normalize_map(raw, "raw").select("volume", "book", "chapter", "verse", "reference", "text")
 
 
-def summaries(spark: SparkSession, path: str) -> DataFrame:
-    return corpus.flatten_summaries(_json(spark, path, corpus.SUMMARIES))
+def summaries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return corpus.flatten_summaries(_json(spark, path, corpus.SUMMARIES, lines))
 
 
-def contextualized(spark: SparkSession, path: str) -> DataFrame:
+def contextualized(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Passages from {"verses": [...]} documents."""
-    return _json(spark, path, f"verses array<struct<{_as_struct(PASSAGE)}>>").select(F.inline("verses"))
+    return _json(spark, path, f"verses array<struct<{_as_struct(PASSAGE)}>>", lines).select(F.inline("verses"))
 
 
-def embedded(spark: SparkSession, path: str) -> DataFrame:
+def embedded(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Embedded passages: Parquet, or {"embeddings": [...]} documents."""
-    if path.rstrip("/").endswith(".json"):
-        return _json(spark, path, f"embeddings array<struct<{_as_struct(PASSAGE)}, embedding: array<float>>>").select(F.inline("embeddings"))
+    if lines or path.rstrip("/").endswith(".json"):
+        return _json(spark, path, f"embeddings array<struct<{_as_struct(PASSAGE)}, embedding: array<float>>>", lines).select(F.inline("embeddings"))
     return spark.read.parquet(path)
 
 
@@ -73,9 +76,9 @@ def _as_struct(ddl: str) -> str:
     return ", ".join(f.replace(" ", ": ", 1) for f in ddl.split(", "))
 
 
-def query_set(spark: SparkSession, path: str) -> DataFrame:
+def query_set(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """The ``queries`` array of a query file."""
-    return _json(spark, path, f"queries array<struct<{_as_struct(QUERY)}>>").select(F.inline("queries"))
+    return _json(spark, path, f"queries array<struct<{_as_struct(QUERY)}>>", lines).select(F.inline("queries"))
 
 
 def quick_queries(spark: SparkSession) -> DataFrame:

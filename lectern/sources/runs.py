@@ -70,6 +70,11 @@ def write_passages(passages: DataFrame, path: str, also_json: bool = False) -> N
         passages.write.mode("overwrite").json(path.rstrip("/") + "-json")
 
 
+def write_embeddings(embedded: DataFrame, path: str) -> None:
+    """Embedded passages as Parquet in the order of the corpus: volume, book, chapter, verse."""
+    embedded.orderBy("volume", "book", "chapter", "verse").write.mode("overwrite").parquet(path)
+
+
 def write_training_set(examples: DataFrame, path: str, key: str, stamp: str) -> None:
     """Five forms of a training set and its statistics: full JSON, Parquet split into train and test, one Parquet, pairs, tab-separated text."""
     parts = training.split(examples, key).withColumn("split", F.when(F.col("test"), "test").otherwise("train")).drop("test")
