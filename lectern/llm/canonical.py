@@ -5,6 +5,10 @@ name without its inner vowels is an alias too. The automaton is run down the tri
 by row and leaves a branch as soon as every state is beyond the allowed distance, so all
 entries within the distance of a value come out. The distance allows swapped
 neighbours and depends on the length of the entry.
+
+Words that people add around a value are learned from the values themselves: an affix is what
+stands before or after an exactly written entry, and one that leaves an entry in at least
+LEAVES of the values it begins or ends is taken off before the automaton is run.
 """
 
 from __future__ import annotations
@@ -16,16 +20,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.relational import numbered
+from lectern.runtime import materialize, small
+
 #: Entries in one trie; a longer list is searched in parts of that many.
 TRIE_ENTRIES = 50_000
-#: Words that people add around a value.
-FILLER = frozenset("query type types question questions about kind category general mostly auto tagged checked src form needs check see sheet q n v".split())
+#: Words of an affix at most, on either side of an entry.
+AFFIX_WORDS = 3
+#: Share of the values with an affix in which it must leave an entry.
+LEAVES = 0.2
+#: Share of all distinct values in which it must do so; as a value has AFFIX_WORDS of them on either side at most, this bounds their number.
+SUPPORT = 1e-4
+#: Different entries beside an affix that are evidence enough.
+DIVERSE = 10
+Affixes = frozenset[tuple[str, tuple[str, ...]]]
 _DIGITS = str.maketrans("01345", "oieas")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _TOKEN = re.compile(r"[^\W_]+")
+_NUMBER = re.compile(r"\d+")
 
 
 def allowed(length: int) -> int:
@@ -91,6 +106,13 @@ class Trie:
         d = np.array(self._bag(word), dtype=np.int16) - self.bags
         return bool((np.maximum(np.where(d > 0, d, 0).sum(1), np.where(d < 0, -d, 0).sum(1)) <= self.slack).any())
 
+    def alike(self, word: str) -> bool:
+        """Whether some entry has three quarters of its letters in common with ``word``, in whatever order."""
+        if not len(self.bags):
+            return False
+        both = np.minimum(np.array(self._bag(word), dtype=np.int16)[:-1], self.bags[:, :-1]).sum(1)
+        return bool((both >= 0.75 * np.maximum(self.bags.sum(1), len(word))).any())
+
     def within(self, word: str) -> list[tuple[int, float, int]]:
         """(distance, distance a letter, id) of all entries whose allowed distance covers ``word``."""
         found: list[tuple[int, float, int]] = []
@@ -189,94 +211,189 @@ class Trie:
         return ids
 
 
-def _readings(raw: str) -> list[list[str]]:
-    """What the value may say, likeliest first: all of it, without notes in brackets or after dashes, each of its parts, without filler."""
+def _bare(raw: str) -> tuple[str, str]:
+    """The folded value, and it without notes in brackets or after dashes."""
     text = fold(raw.replace("\\n", " ").replace("\\t", " "))
-    bare = re.sub(r"\[[^\]]*\]|\([^)]*\)|\s--\s.*$", " ", text)
-    parts = re.split(r"[,;|=:]|\s/\s|\s--\s|/", bare)
+    return text, re.sub(r"\[[^\]]*\]|\([^)]*\)|\s--\s.*$", " ", text)
+
+
+def _shape(words: tuple[str, ...]) -> tuple[str, ...]:
+    """Words of an affix, all numbers alike."""
+    return tuple(_NUMBER.sub("0", w) for w in words)
+
+
+def _stripped(words: list[str], affixes: Affixes) -> list[str]:
+    """``words`` without learned affixes and numbers at its ends, longest first; never all of it."""
+    while len(words) > 1:
+        for n in range(min(AFFIX_WORDS, len(words) - 1), 0, -1):
+            if ("<", _shape(tuple(words[:n]))) in affixes or n == 1 and words[0].isdigit():
+                words = words[n:]
+                break
+            if (">", _shape(tuple(words[-n:]))) in affixes or n == 1 and words[-1].isdigit():
+                words = words[:-n]
+                break
+        else:
+            break
+    return words
+
+
+def _readings(raw: str, affixes: Affixes = frozenset()) -> list[list[str]]:
+    """What the value may say, likeliest first: all of it, without notes in brackets or after dashes, without affixes, written twice, each of its parts."""
+    text, bare = _bare(raw)
+    parts = [tokens(p) for p in re.split(r"[,;|=:]|\s/\s|\s--\s|/", bare)]
     core = tokens(bare)
-    n = 0
-    while n < len(core) and (core[n] in FILLER or core[n].isdigit()):
-        n += 1
-    m = len(core)
-    while m > n and (core[m - 1] in FILLER or core[m - 1].isdigit()):
-        m -= 1
-    out = [tokens(text), core, core[n:m]]
-    inner = [w for w in core if w not in FILLER and not w.isdigit() and not re.fullmatch(r"v\d+", w)]
-    half = len(core) // 2
-    if half and core[:half] == core[half:]:
-        out.append(core[:half])
-    half = len(inner) // 2
-    if half and inner[:half] == inner[half:]:
-        out.append(inner[:half])
-    out += [tokens(p) for p in parts] + [inner]
+    inner = _stripped(core, affixes)
+    out = [tokens(text), core, inner]
+    for words in (core, inner):
+        half = len(words) // 2
+        if half and words[:half] == words[half:]:
+            out.append(words[:half])
+    out += parts + [_stripped(p, affixes) for p in parts]
     seen: set[tuple[str, ...]] = set()
     return [w for w in out if w and not (tuple(w) in seen or seen.add(tuple(w)))]
 
 
-def match(trie: Trie, raw: str) -> tuple[int, float]:
-    """(id, distance a letter), or (0, 1.0): an entry that a reading equals up to word order, else the closest entry of the first reading that has one."""
-    readings = _readings(raw)
+def every_match(trie: Trie, raw: str, affixes: Affixes = frozenset()) -> list[tuple[float, int]]:
+    """(distance a letter, id), nearest first: of the first reading that has any, all entries within their distance; an entry that a reading equals up to word order comes first."""
+    readings = _readings(raw, affixes)
+    equal = next((i for words in readings if (i := trie.sorted.get(tuple(sorted(words))))), 0)
     for words in readings:
+        found: dict[int, float] = {equal: 0.0} if equal and trie.sorted.get(tuple(sorted(words))) == equal else {}
+        if equal and not found:
+            continue  # a reading that equals an entry decides
+        if sum(map(len, words)) <= trie.longest:
+            orders = itertools.permutations(words) if 1 < len(words) <= 4 else [words]
+            hope: dict[str, bool] = {}  # by letters: all orders of the same words share it
+            for order in dict.fromkeys(["".join(words), *("".join(o) for o in orders)]):
+                forms = [order]
+                if any(c.isdigit() for c in order) and sum(c.isdigit() for c in order) * 3 <= len(order):
+                    forms.append(order.translate(_DIGITS))
+                letters = "".join(sorted(order))
+                if letters not in hope:
+                    hope[letters] = any(trie.may_match(f) for f in forms)
+                if not hope[letters]:
+                    continue
+                exact = False
+                for form in forms:
+                    if len(words) > 4:
+                        form = [w if form == order else w.translate(_DIGITS) for w in words]
+                    for d, ratio, i in trie.within(form) if len(words) <= 4 else trie.within_orders(form):
+                        exact |= d == 0
+                        found[i] = min(ratio, found.get(i, 9.0))
+                if exact:
+                    break
+        if not found:
+            word = "".join(words)
+            if len(word) > 4 and len(ids := trie.completions(word)) == 1:
+                found[ids.pop()] = 0.5
+        if found:
+            return sorted((ratio, i) for i, ratio in found.items())
+    return []
+
+
+def match(trie: Trie, raw: str, affixes: Affixes = frozenset()) -> tuple[int, float]:
+    """(id, distance a letter) of the closest of ``every_match``, or (0, 1.0). Where a reading equals an entry, no other need be looked for."""
+    for words in _readings(raw, affixes):
         if i := trie.sorted.get(tuple(sorted(words))):
             return i, 0.0
-    for words in readings:
-        if sum(map(len, words)) > trie.longest:
-            continue
-        orders = itertools.permutations(words) if 1 < len(words) <= 4 else [words]
-        best: list[tuple[float, int, int]] = []
-        hope: dict[str, bool] = {}  # by letters: all orders of the same words share it
-        for order in dict.fromkeys(["".join(words), *("".join(o) for o in orders)]):
-            forms = [order]
-            if any(c.isdigit() for c in order) and sum(c.isdigit() for c in order) * 3 <= len(order):
-                forms.append(order.translate(_DIGITS))
-            letters = "".join(sorted(order))
-            if letters not in hope:
-                hope[letters] = any(trie.may_match(f) for f in forms)
-            if not hope[letters]:
-                continue
-            for form in forms:
-                if len(words) > 4:
-                    form = [w if form == order else w.translate(_DIGITS) for w in words]
-                best += [(ratio, d, i) for d, ratio, i in (trie.within(form) if len(words) <= 4 else trie.within_orders(form))]
-            if any(b[1] == 0 for b in best):
-                break
-        if best:
-            ratio, _, i = min(best)
-            return i, ratio
-        word = "".join(words)
-        if len(word) > 4 and len(ids := trie.completions(word)) == 1:
-            return ids.pop(), 0.5
-    return 0, 1.0
+    found = every_match(trie, raw, affixes)
+    return (found[0][1], found[0][0]) if found else (0, 1.0)
 
 
-def match_values(values: DataFrame, value_col: str, reference: DataFrame, id_col: str, name_col: str, aliases_col: str) -> DataFrame:
-    """(value, entry_id, distance), one row per distinct value: the entry meant, or 0 and distance 1.
+def _key(words: list[str] | tuple[str, ...]) -> str:
+    return " ".join(sorted(words))
 
-    Null and blank values have no row. Entries with a null id are dropped, null names and aliases are
-    no paths; an empty reference leaves every value unmatched. Equally close entries are settled by the
-    smaller id. The reference is cut into tries of TRIE_ENTRIES entries, each sent to the tasks, and the
-    closest of all tries is taken, so its size isn't bounded by what one task can hold.
+
+def _parts(names: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The numbered entries (n, i, s) in stretches of TRIE_ENTRIES."""
+    for part in range(-(-names.count() // TRIE_ENTRIES)):
+        yield [(r["i"], r["s"]) for r in names.where((F.col("n") >= part * TRIE_ENTRIES) & (F.col("n") < (part + 1) * TRIE_ENTRIES)).collect()]
+
+
+def learn_affixes(distinct: DataFrame, names: DataFrame) -> Affixes:
+    """Affixes of the values, by what they leave. ``distinct``: value; ``names``: n, i, s, the numbered names and aliases.
+
+    An affix that is seen with fewer than DIVERSE entries must have no word that is much like a word of an entry: it may be part of one.
+    """
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for v in batch["value"]:
+                words = tuple(tokens(_bare(v)[1]))
+                for n in range(1, min(AFFIX_WORDS, len(words) - 1) + 1):
+                    for m in range(min(AFFIX_WORDS, len(words) - n - 1) + 1):  # words that stand at the other end
+                        rows += [("<", "\x01".join(_shape(words[:n])), _key(words[n : len(words) - m]), not m), (">", "\x01".join(_shape(words[-n:])), _key(words[m:-n]), not m)]
+            yield pd.DataFrame(rows, columns=["side", "affix", "rest", "alone"])
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"i": batch["i"], "rest": [_key(tokens(s)) for s in batch["s"]]})
+
+    known = names.select("i", "s").mapInPandas(keys, "i long, rest string").where("rest <> ''").groupBy("rest").agg(F.min("i").alias("i"))
+    seen = distinct.mapInPandas(ends, "side string, affix string, rest string, alone boolean").join(small(known), "rest", "left").groupBy("side", "affix").agg(F.count_if("alone").alias("n"), F.count("i").alias("hits"), F.count_distinct("i").alias("entries"))
+    least = max(1.0, distinct.count() * SUPPORT)
+    kept = materialize(seen.where((F.col("hits") >= least) & (F.col("hits") >= F.col("n") * LEAVES)))
+    doubt = kept.where(F.col("entries") < DIVERSE).select("affix").distinct()
+    near = None
+    for entries in _parts(names):
+        trie = Trie([(1, w) for w in sorted({w for _, s in entries for w in tokens(s)})])
+
+        def close(batches: Iterator[pd.DataFrame], trie: Trie = trie) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch[[any(trie.alike(w) for w in a.split("\x01")) for a in batch["affix"]]]
+
+        part = doubt.mapInPandas(close, "affix string")
+        near = part if near is None else near.union(part)
+    if near is None:
+        return frozenset()
+    good = kept.join(near.distinct().withColumn("near", F.lit(1)), "affix", "left").where((F.col("entries") >= DIVERSE) | F.col("near").isNull())
+    out = {(r["side"], tuple(r["affix"].split("\x01"))) for r in good.select("side", "affix").collect()}  # at most 2 * AFFIX_WORDS * (AFFIX_WORDS + 1) / SUPPORT
+    # what stands inside a shorter one says nothing of its own
+    return frozenset((side, words) for side, words in out if not any((side, words[:n] if side == "<" else words[-n:]) in out for n in range(1, len(words))))
+
+
+def all_matches(values: DataFrame, value_col: str, reference: DataFrame, id_col: str, name_col: str, aliases_col: str, nearest: bool = False) -> DataFrame:
+    """(value, entry_id, distance, rank): of each distinct value all entries within their distance, nearest first, ties by id; with ``nearest`` the first of them only.
+
+    Null and blank values have no row, nor have values without an entry. Entries with a null id are dropped, null names and aliases are
+    no paths. The reference is numbered once and cut into tries of TRIE_ENTRIES entries, each sent to the tasks in a pass of its own,
+    so its size isn't bounded by what one task can hold.
     """
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = values.select(F.col(value_col).cast("string").alias("value")).where(F.length(F.trim("value")) > 0).distinct()
-    distinct = distinct.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a value costs far more than its bytes tell
-    names = reference.select(F.col(id_col).cast("long").alias("i"), F.explode(F.concat(F.array(F.col(name_col).cast("string")), F.coalesce(F.col(aliases_col).cast("array<string>"), F.array().cast("array<string>")))).alias("s")).where("i is not null and s is not null")
-    results, after = None, None
-    while True:
-        part = names if after is None else names.where((F.col("i") > after[0]) | ((F.col("i") == after[0]) & (F.col("s") > after[1])))
-        entries = [(r["i"], r["s"]) for r in part.orderBy("i", "s").limit(TRIE_ENTRIES).collect()]
-        if results is not None and not entries:
-            break
+    distinct = materialize(distinct.repartition(parts))  # a value costs far more than its bytes tell
+    names = reference.select(F.col(id_col).cast("long").alias("i"), F.explode(F.concat(F.array(F.col(name_col).cast("string")), F.coalesce(F.col(aliases_col).cast("array<string>"), F.array().cast("array<string>")))).alias("s")).where("i is not null and s is not null").distinct()
+    names = materialize(numbered(names, ["i", "s"]))
+    affixes = learn_affixes(distinct, names)
+    found = None
+    for entries in _parts(names):
         trie = Trie(entries)
 
         def run(batches: Iterator[pd.DataFrame], trie: Trie = trie) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                hits = [match(trie, v) for v in batch["value"]]
-                yield pd.DataFrame({"value": batch["value"], "entry_id": [h[0] for h in hits], "distance": [h[1] for h in hits]})
+                if nearest:
+                    best = [(v, *match(trie, v, affixes)) for v in batch["value"]]
+                    rows = [b for b in best if b[1]]
+                else:
+                    rows = [(v, i, ratio) for v in batch["value"] for ratio, i in every_match(trie, v, affixes)]
+                yield pd.DataFrame(rows, columns=["value", "entry_id", "distance"])
+
+        hits = distinct.mapInPandas(run, "value string, entry_id long, distance double")
+        found = hits if found is None else found.union(hits)
+    if found is None:
+        return distinct.limit(0).select("value", F.lit(0).cast("long").alias("entry_id"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
+    once = found.groupBy("value", "entry_id").agg(F.min("distance").alias("distance"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("value").orderBy("distance", "entry_id")))
+    ranked = ranked.where("rank = 1") if nearest else ranked
+    return ranked.select("value", "entry_id", F.round("distance", 6).alias("distance"), "rank")
 
-        found = distinct.mapInPandas(run, "value string, entry_id long, distance double")
-        results = found if results is None else results.union(found)
-        if len(entries) < TRIE_ENTRIES:
-            break
-        after = entries[-1]
-    return results.groupBy("value").agg(F.min(F.struct("distance", "entry_id")).alias("m")).select("value", "m.entry_id", F.round("m.distance", 6).alias("distance"))
+
+def match_values(values: DataFrame, value_col: str, reference: DataFrame, id_col: str, name_col: str, aliases_col: str) -> DataFrame:
+    """(value, entry_id, distance), one row per distinct value: the nearest of ``all_matches``, or 0 and distance 1.
+
+    Null and blank values have no row; an empty reference leaves every value unmatched. Equally close entries are settled by the smaller id.
+    """
+    best = materialize(all_matches(values, value_col, reference, id_col, name_col, aliases_col, nearest=True))
+    distinct = values.select(F.col(value_col).cast("string").alias("value")).where(F.length(F.trim("value")) > 0).distinct()
+    return distinct.join(best, "value", "left").select("value", F.coalesce("entry_id", F.lit(0).cast("long")).alias("entry_id"), F.coalesce("distance", F.lit(1.0)).alias("distance"))

@@ -75,6 +75,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return values.join(found, values.raw_value == found.value).select("origin_key", "raw_value", F.col("entry_id").alias("type_id"))
 
 
+def p6_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """All entries within the distance of each value of the test queries, nearest first."""
+    asked = table(spark, d, "test_queries").select(F.col("type").alias("value"))
+    found = canonical.all_matches(asked, "value", table(spark, d, "query_types"), "type_id", "type_name", "aliases")
+    return found.select("value", F.col("entry_id").alias("type_id"), "distance", F.col("rank").cast("long").alias("rank"))
+
+
 def p6_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """Values that are no entry, with how often they were typed."""
     return p6_found(spark, d).where("type_id = 0").groupBy("raw_value").agg(F.count(F.lit(1)).alias("uses"))
@@ -125,4 +132,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_neighbours, p3_found, p3_ranking, p4_found, p4_report, p5_sample, p5_report, p6_found, p6_unmatched, p7_containers, p7_report, p8_mixture, p8_report, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_neighbours, p3_found, p3_ranking, p4_found, p4_report, p5_sample, p5_report, p6_found, p6_candidates, p6_unmatched, p7_containers, p7_report, p8_mixture, p8_report, p9_found, p9_scores)}
