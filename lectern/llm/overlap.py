@@ -1,15 +1,15 @@
 """Same or nearly same records across splits, by winnowing fingerprints.
 
-A text is normalised to words and fingerprinted by the rolling hash of each two
-neighbouring words. Selected are its 3e + 1 smallest hashes, e being a fifth of its words:
-each word changed, dropped, added or moved destroys three of these at most, so e edits
-can't destroy all that were selected, and two nearly same texts always share one. (Minima
-of fixed windows give no such bound: edits may be spread so that no window survives.)
-Smallest is by an order in which frequent hashes come last; those are the ones in more
-than a thousandth of all texts, so there are never more than a thousand times the words
-of a text. Shared fingerprints are joined across splits, word-set signatures discard
-what can't be within a fifth, and the rest is aligned: matching words are chained in order
-(the longest common subsequence), words outside the chain are the edits.
+A text is normalised to words. Its selected fingerprints are the minima, by a global order in which rare words come
+first, over a window that is the whole text: e edits destroy e of its words at most, so of two nearly same texts at least
+one of the e + 1 least words of either stands in both, and two of the e + 2 least. (Minima of short windows give
+no such bound: edits may be spread so that no window survives.) Rarity is read from a sketch of SKETCH counters.
+Where a group of texts is small, as the documents of one query are, one shared seed makes a candidate. In a large group
+seeds are chained first: a key is two of the e + 2 least words in the order in which they stand, so only collinear pairs
+of seeds meet. Pairs of words grow with the square of a text's length, so texts beyond CHAIN words are
+fingerprinted by the rolling hash of two neighbouring words instead, of which an edit destroys three at most.
+Word-set signatures discard candidates that can't be within a fifth, and the rest is extended by alignment: matching words are
+chained in order (the longest common subsequence), words outside the chain are the edits.
 """
 
 from __future__ import annotations
@@ -23,15 +23,20 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.runtime import materialize
+from lectern.runtime import materialize, small, spread
 
-#: A hash in more than one of so many texts comes after all rarer ones.
-FREQUENT = 1000
-_TAG = re.compile(r"<[^<>]{0,200}>")
+#: Counters of the sketch of word frequencies; words that share one count together, alike in all texts.
+SKETCH = 1 << 20
+#: Words of the longest text whose seeds are chained in pairs.
+CHAIN = 80
+#: Documents of a query up to which one shared seed makes a candidate.
+GROUP = 256
+_TAG = re.compile(r"<[^<>]+>")
 _VERSE = re.compile(r"^\s*[\[(]?\d{1,3}(?::\d{1,3})?[\])]?[.:)]?\s+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -56,47 +61,112 @@ def _signature(words: list[str]) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >> 63 else x for x in (bits & (1 << 64) - 1, bits >> 64))
 
 
+@lru_cache(maxsize=200_000)
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
 def hashes(words: list[str]) -> np.ndarray:
-    """The rolling hash of every two neighbouring words; a single word is its own."""
-    h = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
-    if len(h) > 1:
-        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ (h[1:] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h.view(np.int64)
+    return np.array([_hash(w) for w in words], dtype=np.uint64)
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two, in this order."""
+    return a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def edit_limit(n: int) -> int:
     return n // 5
 
 
-def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        each = [np.unique(hashes(t.split())) for t in batch["text"]]
-        yield pd.DataFrame({"g": np.concatenate(each) if each else np.zeros(0, np.int64)})
+def _tolerated(n: int) -> int:
+    """The edits of a pair that a text of n words may be in: the other may be up to a quarter longer."""
+    return edit_limit(n + n // 4 + 1)
 
 
-def _select(frequent: dict[int, int]):
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(SKETCH, dtype=np.int64)
+    for batch in batches:
+        for t in batch["text"]:
+            total[np.unique(hashes(t.split()) & np.uint64(SKETCH - 1)).astype(np.int64)] += 1
+    at = np.flatnonzero(total)
+    yield pd.DataFrame({"k": at, "n": total[at]})
+
+
+def sketch(texts: DataFrame) -> np.ndarray:
+    """How many texts have a word of each counter; SKETCH numbers, whatever the corpus."""
+    rows = spread(texts.select("text")).mapInPandas(_count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(SKETCH, dtype=np.int64)
+    out[rows["k"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def seeds(words: list[str], counts: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """The n least (word hash, occurrence) of a text, rare words first; a word that stands twice is two seeds."""
+    h = hashes(words)
+    rare = counts[(h & np.uint64(SKETCH - 1)).astype(np.int64)]
+    seen: dict[int, int] = {}
+    out = []
+    for c, x in zip(rare.tolist(), h.tolist(), strict=True):
+        seen[x] = seen.get(x, 0) + 1
+        out.append((c, x, seen[x]))
+    out.sort()
+    return [(x, k) for _, x, k in out[:n]]
+
+
+def single_keys(words: list[str], counts: np.ndarray) -> np.ndarray:
+    """Of two nearly same texts one key at least is common."""
+    least = seeds(words, counts, _tolerated(len(words)) + 1)
+    return _mix(np.array([x for x, _ in least], dtype=np.uint64), np.array([k for _, k in least], dtype=np.uint64))
+
+
+def chained_keys(words: list[str], counts: np.ndarray) -> np.ndarray:
+    """Of two nearly same texts of five words or more one key at least is common; shorter ones are nearly the same only if they are equal."""
+    n, e, out = len(words), _tolerated(len(words)), []
+    if n <= CHAIN:
+        least = seeds(words, counts, e + 2)
+        first: dict[int, int] = {}
+        last: dict[int, int] = {}
+        for at, x in enumerate(hashes(words).tolist()):
+            first.setdefault(x, at)
+            last[x] = at
+        for i, (x, _) in enumerate(least):
+            for y, _ in least[i + 1 :]:
+                if first[x] < last[y]:
+                    out.append((x, y))
+                if first[y] < last[x] and x != y:
+                    out.append((y, x))
+        out = list(dict.fromkeys(out))
+        out = [_mix(np.array([x for x, _ in out], dtype=np.uint64), np.array([y for _, y in out], dtype=np.uint64))]
+    if n > CHAIN * 4 // 5 - 1:  # and those that may be near to a longer one
+        h = hashes(words)
+        g = _mix(h[:-1], h[1:])
+        rare = counts[(h & np.uint64(SKETCH - 1)).astype(np.int64)]
+        order = np.lexsort((g, np.minimum(rare[:-1], rare[1:])))
+        _, once = np.unique(g[order], return_index=True)
+        out.append(g[order][np.sort(once)[: 3 * e + 1]])
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def _select(counts: Broadcast, chained: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = chained_keys if chained else single_keys
         for batch in batches:
-            out: list[tuple[int, int, int, int, int]] = []
+            out: list[tuple[np.ndarray, ...]] = []
             for t, text in zip(batch["t"], batch["text"], strict=True):
                 words = text.split()
-                own = sorted(((frequent.get(g, 0), g) for g in np.unique(hashes(words)).tolist()))
-                # the other text may be up to a quarter longer, so its e bounds the edits too
-                e = edit_limit(len(words) + len(words) // 4 + 1)
+                g = keys(words, counts.value)
                 x, y = _signature(words)
-                out += [(t, g, len(words), x, y) for _, g in own[: 3 * e + 1]]
-            yield pd.DataFrame(out, columns=["t", "g", "n", "x", "y"])
+                out.append((np.full(len(g), t), g.view(np.int64), np.full(len(g), len(words), np.int32), np.full(len(g), x), np.full(len(g), y)))
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+            yield pd.DataFrame(dict(zip("tgnxy", cols, strict=True)))
 
     return run
 
 
-def fingerprints(texts: DataFrame) -> DataFrame:
-    """(t, g, n, x, y) from (t, text): the selected hashes g of each text, its number of words and its word-set signature."""
-    texts = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t")
-    total = texts.count()
-    frequent = texts.select("text").mapInPandas(_grams, "g long").groupBy("g").count().where(F.col("count") > max(2, total // FREQUENT))
-    known = {r["g"]: r["count"] for r in frequent.collect()}  # at most FREQUENT times the mean words of a text
-    return texts.select("t", "text").mapInPandas(_select(known), "t long, g long, n int, x long, y long")
+def fingerprints(texts: DataFrame, counts: Broadcast, chained: bool) -> DataFrame:
+    """(t, g, n, x, y) from (t, text): the keys g of each text, its number of words and its word-set signature."""
+    return spread(texts.select("t", "text")).mapInPandas(_select(counts, chained), "t long, g long, n int, x long, y long")
 
 
 def _can_match() -> Column:
@@ -135,7 +205,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, keep: list[str]) -> DataFrame:
 
 def near_texts(texts: DataFrame) -> DataFrame:
     """(a, b, coverage) from (t, text, left, right): each pair of a ``left`` and a ``right`` text that are the same or nearly the same."""
-    marks = materialize(fingerprints(texts).join(texts.select("t", "left", "right"), "t"))
+    counts = texts.sparkSession.sparkContext.broadcast(sketch(texts))
+    marks = materialize(fingerprints(texts, counts, True).join(texts.select("t", "left", "right"), "t"))
     a = marks.where("left").select("g", *(F.col(c).alias(f"{'a' if c == 't' else c + '_a'}") for c in ("t", "n", "x", "y")))
     b = marks.where("right").select("g", *(F.col(c).alias(f"{'b' if c == 't' else c + '_b'}") for c in ("t", "n", "x", "y")))
     pairs = a.join(b, "g").where((F.col("a") != F.col("b")) & _can_match()).select("a", "b").distinct()
@@ -172,12 +243,21 @@ class CrossSplitOverlap:
     def document_links(self) -> DataFrame:
         """(a, b, coverage): nearly same documents, an evaluation row's and a train row's, whose queries are linked too."""
         if self._docs is None:
-            marks = materialize(fingerprints(self.doc_texts).withColumnRenamed("t", "d"))
-            side = lambda df, own: df.join(marks, "d").select("q", "g", F.col("d").alias(own), *(F.col(c).alias(f"{c}_{own}") for c in "nxy"))
             link = self.query_links.select(F.col("a").alias("q"), F.col("b").alias("to"))
             tested = self.rows.where("not train and q is not null and d is not null").select("q", "d").distinct().join(link, "q").select(F.col("to").alias("q"), "d").distinct()
             trained = self.rows.where("train and q is not null and d is not null").select("q", "d").distinct().join(tested.select("q").distinct(), "q", "left_semi")
-            pairs = side(tested, "a").join(side(trained, "b"), ["q", "g"]).where((F.col("a") != F.col("b")) & _can_match()).select("a", "b").distinct()
+            asked = materialize(tested.withColumn("train", F.lit(False)).union(trained.withColumn("train", F.lit(True))))
+            large = small(materialize(asked.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("q")))
+            counts = self.doc_texts.sparkSession.sparkContext.broadcast(sketch(self.doc_texts))
+            pairs = None
+            for chained, how in ((False, "left_anti"), (True, "left_semi")):
+                own = asked.join(large, "q", how)
+                texts = self.doc_texts.join(own.select(F.col("d").alias("t")).distinct(), "t", "left_semi")
+                marks = materialize(fingerprints(materialize(texts.select("t", "text")), counts, chained).withColumnRenamed("t", "d"))
+                side = lambda is_train, name: own.where(F.col("train") == is_train).join(marks, "d").select("q", "g", F.col("d").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in "nxy"))  # noqa: B023, E731
+                met = side(False, "a").join(side(True, "b"), ["q", "g"]).where((F.col("a") != F.col("b")) & _can_match()).select("a", "b")
+                pairs = met if pairs is None else pairs.union(met)
+            pairs = pairs.distinct()
             same = self.doc_texts.where("left and right").select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(1.0).alias("coverage"))
             self._docs = materialize(_verified(pairs, self.doc_texts, []).union(same))
         return self._docs
