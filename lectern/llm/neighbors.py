@@ -1,13 +1,14 @@
 """The k most similar vectors of every vector, by multi-index hashing.
 
 Unit vectors are turned by several learned rotations (iterative quantization on a
-bounded sample); the signs are the code. They aren't centred: a large group of alike vectors
-would pull the mean to itself and lose its own angles. A code is cut into short
-substrings, each the key of one index. Codes that agree in a substring meet in its
-bucket; there the Hamming distance of the whole codes is taken, and pairs within the
-radius are reranked with the floats. With m substrings every code within m - 1 bits is
-retrieved for certain (pigeonhole); beyond that a pair is missed only if all m
-substrings differ, and m is chosen from ``recall`` at ``recall_at`` for that.
+bounded sample); the signs are the code, of BITS bits whatever the collection. They aren't centred: a large group of alike vectors
+would pull the mean to itself and lose its own angles. The code is cut into bytes, of which as many as ``recall`` asks for are each
+the key of an index: codes that agree in a byte meet in its bucket. There the whole codes are searched: all against all
+while they are few, else by an index of their own, of longer substrings in whose buckets and neighbouring buckets (one bit
+apart) a code is looked up. With m substrings every code of the bucket within 2 m - 1 bits is retrieved for certain (pigeonhole).
+Pairs within the Hamming radius are reranked with the floats.
+What is sent is a code for each byte used, so bytes a vector don't grow with the collection; the search within a bucket
+grows in memory only.
 """
 
 from __future__ import annotations
@@ -25,19 +26,40 @@ from lectern.runtime import by_size, materialize
 
 #: Vectors collected to learn the rotations.
 SAMPLE = 20_000
-#: A bucket above this many codes is compared in pairs of chunks, each pair its own group; the chunks grow only beyond 4,095 of them.
-CHUNK = 2_048
+#: Bits of a code.
+BITS = 288
+#: Bits of a substring that is the key of a bucket.
+KEY = 8
+#: A bucket above this many codes is searched in pairs of chunks, each pair its own group; the chunks grow only beyond 4,095 of them.
+CHUNK = 1 << 20
+#: Codes of a group that are compared all against all; more have an index of their own.
+LOCAL = 2_048
+#: Probability with which that index finds a pair at the least wanted cosine.
+LOCAL_RECALL = 0.97
 #: Tables of exceptions (hot buckets, copies) are broadcast up to so many rows, joined by shuffle beyond.
 BROADCAST = 200_000
 
 
 def index_shape(n: int, recall: float, recall_at: float) -> tuple[int, int]:
-    """(bits of a substring, substrings): buckets stay near 2**8 codes on average whatever n is; the number of substrings follows from the recall."""
+    """(bits of a substring, substrings) of an index of ``n`` codes without probing: buckets stay near 2**8 codes on average whatever n is; the number of substrings follows from the recall."""
     bits = min(24, max(12, math.ceil(math.log2(max(n, 2))) - 8))
     agree = (1 - math.acos(recall_at) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
+def local_shape(n: int, recall: float, recall_at: float) -> tuple[int, int]:
+    """As ``index_shape``, with probing: as the buckets one bit apart are looked up too, substrings are four bits longer, and their number follows from the probability of at most one differing bit."""
+    bits, same = index_shape(n, recall, recall_at)[0] + 4, 1 - math.acos(recall_at) / math.pi
+    near = same**bits + bits * (1 - same) * same ** (bits - 1)
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - near)))
+
+
+def key_tables(recall: float, recall_at: float) -> int:
+    """Bytes of the code that are keys: a pair at ``recall_at`` agrees in one of them with probability ``recall``."""
+    agree = (1 - math.acos(recall_at) / math.pi) ** KEY
+    return min(BITS // KEY, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+
+
 def learn_rotations(sample: np.ndarray, bits: int, rounds: int = 15, seed: int = 11) -> np.ndarray:
     """A (dim, bits) projection: as many independently started rotations, side by side, as ``bits`` needs."""
     dim, x = sample.shape[1], sample.astype(np.float32)
@@ -57,70 +79,114 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _codes(rotation: np.ndarray, bits: int, tables: int, counts_only: bool):
-    dim, weight = len(rotation), (1 << np.arange(bits)).astype(np.int64)
+def _codes(rotation: np.ndarray, tables: int, counts_only: bool):
+    dim = len(rotation)
 
-    def signs(batch: pa.RecordBatch) -> np.ndarray:
+    def codes(batch: pa.RecordBatch) -> np.ndarray:
         x = _matrix(batch.column("v"), dim)
-        return (x @ rotation > 0).reshape(len(x), tables, bits)
-
-    def subs(batch: pa.RecordBatch) -> np.ndarray:
-        return (signs(batch) @ weight).astype(np.int64)
-
-    def count_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, n = np.unique(subs(batch) + (np.arange(tables) << bits), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+        return np.packbits(x @ rotation > 0, axis=1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((tables, 1 << bits), dtype=np.int64)
+        total = np.zeros((tables, 1 << KEY), dtype=np.int64)
         for batch in batches:
-            s = subs(batch)
+            c = codes(batch)
             for t in range(tables):
-                total[t] += np.bincount(s[:, t], minlength=1 << bits)
+                total[t] += np.bincount(c[:, t], minlength=1 << KEY)
         flat = total.ravel()
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["key", "n"])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b = signs(batch)
-            s = (b @ weight).astype(np.int64)
-            whole = pa.array([r.tobytes() for r in np.packbits(b.reshape(len(b), -1), axis=1)], pa.binary())
+            c = codes(batch)
+            whole = pa.array([r.tobytes() for r in c], pa.binary())
             rid = batch.column("rid")
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array(s[:, t] + (t << bits)), rid, whole], ["key", "rid", "code"])
-
-    if counts_only:
-        return count if tables << bits <= 1 << 21 else count_each  # a table of all buckets only while it is small
-    return code
-
-
-def _meet(bits: int, tables: int, radius: int):
-    """Over rows sorted by g (bucket, two chunks, side): the pairs of one bucket, or of two chunks of one, within the radius; each pair only in the first substring it agrees in."""
+                yield pa.RecordBatch.from_arrays([pa.array(c[:, t].astype(np.int64) + (t << KEY)), rid, whole], ["key", "rid", "code"])
+
+    return count if counts_only else code
+
+
+def _words(code: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.pad(code, ((0, 0), (0, -code.shape[1] % 8)))).view(np.uint64)
+
+
+def _distance(word: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    d = np.zeros(len(i), dtype=np.uint16)
+    for w in range(word.shape[1]):
+        d += np.bitwise_count(word[i, w] ^ word[j, w])
+    return d
+
+
+def _all_pairs(code: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a ``left`` and a ``right`` code within the radius, in blocks."""
+    word = _words(code)
+    step = max(1, 2_000_000 // max(1, len(right)))
+    for lo in range(0, len(left), step):
+        a = left[lo : lo + step]
+        d = np.zeros((len(a), len(right)), dtype=np.uint16)
+        for w in range(word.shape[1]):
+            d += np.bitwise_count(word[a, w][:, None] ^ word[right, w][None, :])
+        i, j = np.nonzero(d <= radius)
+        yield a[i], right[j]
+
+
+def _probed_pairs(code: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, shape: tuple[int, int], skip: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``_all_pairs``, by an index: each left code is looked up in the bucket of its substring and those one bit apart. ``skip``: the byte in which all agree, which no substring uses. A pair comes once, from the first substring that is near enough."""
+    size, count = shape
+    free = np.setdiff1d(np.arange(code.shape[1] * 8), np.arange(skip * 8, skip * 8 + 8))
+    rng, order = np.random.default_rng(5), []
+    while sum(map(len, order)) < size * count:
+        order.append(rng.permutation(free))
+    at = np.concatenate(order)[: size * count].reshape(count, size)
+    bits, weight = np.unpackbits(code, axis=1), (1 << np.arange(size)).astype(np.int64)
+    subs = np.stack([bits[:, a].astype(np.int64) @ weight for a in at])
+    word, masks = _words(code), np.concatenate(([0], weight))
+    for t in range(count):
+        there = np.argsort(subs[t, right], kind="stable")
+        values = subs[t, right][there]
+        for mask in masks:
+            wanted = subs[t, left] ^ mask
+            low, high = np.searchsorted(values, wanted, "left"), np.searchsorted(values, wanted, "right")
+            n = high - low
+            ends = np.cumsum(n)
+            begin = 0
+            while begin < len(left):  # some two million lookups at a time
+                done = ends[begin - 1] if begin else 0
+                stop = max(begin + 1, int(np.searchsorted(ends, done + 2_000_000, "right")))
+                part = n[begin:stop]
+                i = np.repeat(left[begin:stop], part)
+                j = right[there[np.repeat(low[begin:stop] - (np.cumsum(part) - part), part) + np.arange(part.sum())]] if len(i) else i
+                ok = _distance(word, i, j) <= radius
+                i, j = i[ok], j[ok]
+                for earlier in range(t):
+                    if not len(i):
+                        break
+                    fresh = np.bitwise_count(subs[earlier, i] ^ subs[earlier, j]) > 1
+                    i, j = i[fresh], j[fresh]
+                yield i, j
+                begin = stop
+
+
+def _meet(tables: int, radius: int, recall: float, recall_at: float):
+    """Over rows sorted by g (bucket, two chunks, side): the pairs of one bucket, or of two chunks of one, within the radius; each pair only in the first key it agrees in."""
 
     def pairs(key: int, rid: np.ndarray, code: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        word = np.ascontiguousarray(np.pad(code, ((0, 0), (0, -code.shape[1] % 8)))).view(np.uint64)
+        table = key >> KEY
         left = np.flatnonzero(side <= 0)
         right = left if side[0] == 0 and (side == 0).all() else np.flatnonzero(side == 1)
+        if len(rid) <= LOCAL:
+            found = _all_pairs(code, left, right, radius)
+        else:
+            found = _probed_pairs(code, left, right, radius, local_shape(len(rid), recall, recall_at), table)
         found_a, found_b = [], []
-        step = max(1, 2_000_000 // max(1, len(right)))
-        for lo in range(0, len(left), step):
-            a = left[lo : lo + step]
-            d = np.zeros((len(a), len(right)), dtype=np.uint16)
-            for w in range(word.shape[1]):
-                d += np.bitwise_count(word[a, w][:, None] ^ word[right, w][None, :])
-            i, j = np.nonzero(d <= radius)
-            i, j = a[i], right[j]
+        for i, j in found:
             ok = rid[i] < rid[j] if right is left else rid[i] != rid[j]
-            found_a.append(i[ok])
-            found_b.append(j[ok])
-        i, j = np.concatenate(found_a), np.concatenate(found_b)
-        if not len(i):
-            return None
-        apart = np.unpackbits(code[i] ^ code[j], axis=1)[:, : bits * tables].reshape(-1, tables, bits).any(2)
-        first = np.argmin(apart, axis=1) == key >> bits
-        i, j = i[first], j[first]
+            i, j = i[ok], j[ok]
+            first = np.argmax(code[i, :tables] == code[j, :tables], axis=1) == table
+            found_a.append(i[first])
+            found_b.append(j[first])
+        i, j = np.concatenate(found_a) if found_a else left[:0], np.concatenate(found_b) if found_b else left[:0]
         return (np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])) if len(i) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +266,7 @@ def most_similar(
     Invalid vectors (null, wrong length, null or not finite numbers, all zero) and null ids have no rows;
     repeated rows of an id count once; an empty table gives no rows; other columns are ignored. Vectors
     equal up to scale form a class that is indexed once, so a third of all rows may be copies of one
-    vector; a bucket above CHUNK codes is compared chunk against chunk. The index holds every vector;
+    vector; a bucket above CHUNK codes is searched chunk against chunk. The index holds every vector;
     only the rotations are learned from a sample of ``sample`` vectors. Recall is approximate by
     design: at ``recall_at`` and above a pair is found with probability ``recall`` at least.
     """
@@ -215,14 +281,14 @@ def most_similar(
     share = min(1.0, 1.3 * sample / max(n, 1) + 1e-6)
     few = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000)))
     some = np.array([r["v"] for r in few.orderBy(F.xxhash64("id"), "id").select("v").limit(sample).collect()], dtype=np.float32).reshape(-1, dim)
-    bits, tables = index_shape(n, recall, recall_at)
-    rotation = learn_rotations(some, bits * tables)
+    tables = key_tables(recall, recall_at)
+    rotation = learn_rotations(some, BITS)
     theta = math.acos(min_cosine) / math.pi
-    radius = round(bits * tables * theta + 2.3 * math.sqrt(bits * tables * theta * (1 - theta)))
+    radius = round(BITS * theta + 2.3 * math.sqrt(BITS * theta * (1 - theta)))
 
-    counts = vectors.mapInArrow(_codes(rotation, bits, tables, True), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = vectors.mapInArrow(_codes(rotation, tables, True), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     hot = materialize(counts.where(F.col("n") > CHUNK).select("key", F.least(F.lit(4095), F.ceil(F.col("n") / CHUNK)).cast("int").alias("chunks")))
-    codes = vectors.mapInArrow(_codes(rotation, bits, tables, False), "key long, rid long, code binary").join(_small(hot), "key", "left")
+    codes = vectors.mapInArrow(_codes(rotation, tables, False), "key long, rid long, code binary").join(_small(hot), "key", "left")
     # one number holds bucket, chunks and side, so that little more than the codes is shuffled
     group = lambda i, j, side: F.shiftleft("key", 26) + F.shiftleft(i.cast("long"), 14) + F.shiftleft(j.cast("long"), 2) + side
     own, x = F.pmod(F.xxhash64("rid"), F.col("chunks")), F.col("x")
@@ -230,7 +296,7 @@ def most_similar(
     side = F.when(own == x, 1).when(own < x, 0).otherwise(2)
     g = F.when(F.col("chunks").isNull(), group(F.lit(0), F.lit(0), F.lit(1))).otherwise(group(F.least(own, x), F.greatest(own, x), side))
     buckets = split.select(g.alias("g"), "rid", "code").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.shiftright("g", 2)).sortWithinPartitions("g")
-    pairs = buckets.mapInArrow(_meet(bits, tables, radius), "a long, b long")
+    pairs = buckets.mapInArrow(_meet(tables, radius, max(recall, LOCAL_RECALL), min_cosine), "a long, b long")
     first = pairs.join(vectors.select(F.col("rid").alias("a"), F.col("v").alias("va")), "a")
     scored = first.join(vectors.select(F.col("rid").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", "va", "vb").mapInArrow(_cosine(dim, min_cosine), "a long, b long, cosine double")
     scored = materialize(scored)
