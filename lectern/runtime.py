@@ -122,15 +122,15 @@ def small(df: DataFrame, limit: int | None = None) -> DataFrame:
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """``df`` in as many partitions as the session shuffles into, if its scan has fewer than the cluster has cores; a larger table is cut finer anyway and isn't shuffled.
 
-    For work that costs far more a byte than a scan does. ``df`` should be a scan with narrow steps only.
+    For work that costs far more a byte than a scan does. What comes out of a shuffle, which may have been drawn together to few partitions, is shuffled.
     """
     spark = df.sparkSession
-    if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+    # only a plan of narrow steps can be asked for its partitions without running it
+    if "Exchange" not in df._jdf.queryExecution().executedPlan().toString() and df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
         return df
     return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def narrowed(df: DataFrame, waves: int = 4) -> DataFrame:
     """``df`` in at most ``waves`` tasks for each core, without a shuffle: for work whose tasks each put out a bounded result, so that there aren't more results than cores can use."""
-    most = waves * df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(most) if df.rdd.getNumPartitions() > most else df
+    return df.coalesce(waves * df.sparkSession.sparkContext.defaultParallelism)
