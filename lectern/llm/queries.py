@@ -27,7 +27,7 @@ def p1_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     near = neighbors.most_similar(table(spark, d, "index_records"), latest="upserted_at")
-    return near.select("id", "rank", "other", F.round("cosine", 6).alias("cosine"))
+    return near.select("id", "rank", "other", F.round("cosine", 4).alias("cosine"))  # the index keeps single precision
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

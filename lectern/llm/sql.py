@@ -34,6 +34,7 @@ def oracle_sql() -> dict[str, str]:
           c AS (SELECT id, sum(least(120, coalesce(nx - s, 120)))::bigint AS n, count(*) FILTER (nx IS NULL OR nx - s > 120) AS spans FROM k GROUP BY id), cl AS (SELECT text, min(id) AS class_id FROM d GROUP BY text)
           SELECT d.id AS doc_id, class_id, length(d.text) AS n_chars, coalesce(n, 0) AS shared_chars, CASE WHEN length(d.text) > 0 THEN round(coalesce(n, 0) / length(d.text)::double, 6) ELSE 0 END AS shared_share, coalesce(spans, 0) AS n_spans FROM d JOIN cl USING (text) LEFT JOIN c USING (id)""",
         "p2_found": f"WITH {VECTORS}, s AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.x, b.x) AS c FROM v a JOIN v b ON a.id <> b.id), t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, other) AS k FROM s WHERE c >= 0.8) SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM t WHERE k <= 5",
+        "p2_neighbours": f"WITH {VECTORS}, s AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.x, b.x) AS c FROM v a JOIN v b ON a.id <> b.id), t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, other) AS k FROM s WHERE c >= 0.8) SELECT id, k::int AS rank, other, round(c, 4) AS cosine FROM t WHERE k <= 5",
         "p3_found": _ranking() + " SELECT list_id AS result_id, id AS doc_id FROM o WHERE position <= 3",
         "p3_ranking": _ranking() + " SELECT list_id AS result_id, id AS doc_id, position, round(significance, 6) AS significance, round(evidence, 6) AS evidence FROM o",
     }
