@@ -47,7 +47,7 @@ def _best(queries: dict[int, tuple[pa.Array, np.ndarray]], k: int):
                     x = _unit(flat[low : low + 1024]).T
                     step = max(1, CELLS // x.shape[1])
                     for lo in range(0, len(matrix), step):
-                        s = np.round(matrix[lo : lo + step] @ x, 9)
+                        s = np.round(matrix[lo : lo + step] @ x, 9) + 0.0  # no negative zero
                         i, j = np.nonzero(s >= held.edge[lo : lo + step, None])
                         held.add(i + lo, s[i, j], ids[low + j])
         for dim, held in best.items():

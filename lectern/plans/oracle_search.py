@@ -20,7 +20,7 @@ def _vectors(name: str, table: str, key: str, column: str) -> str:
 
 def _dense(name: str, vectors: str, k: int) -> str:
     """A vector without a common slot has cosine 0 and still counts."""
-    return f"""{name}s AS (SELECT qk.k AS query_id, pk.k AS id, round(coalesce(d.x, 0), 9) AS score FROM (SELECT DISTINCT k FROM qv) qk CROSS JOIN (SELECT DISTINCT k FROM {vectors}) pk
+    return f"""{name}s AS (SELECT qk.k AS query_id, pk.k AS id, round(coalesce(d.x, 0), 9) + 0.0::double AS score FROM (SELECT DISTINCT k FROM qv) qk CROSS JOIN (SELECT DISTINCT k FROM {vectors}) pk
         LEFT JOIN (SELECT a.k AS qk, b.k AS pk, sum(a.x * b.x) AS x FROM qv a JOIN {vectors} b USING (slot) GROUP BY 1, 2) d ON d.qk = qk.k AND d.pk = pk.k),
       {name} AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {name}s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {k})"""
 
