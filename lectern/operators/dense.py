@@ -1,4 +1,4 @@
-"""Top-k by cosine of a stated query set against all rows: exactly, in blocks, or by hashed signs of random projections."""
+"""Top-k by cosine of a stated query set against all rows, in blocks: of all, or of those within a distance; pairs that meet by hashed signs of random projections."""
 
 from __future__ import annotations
 
@@ -29,11 +29,47 @@ def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.where(ok & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), v.alias("v"))
 
 
-def _best(queries: dict[int, tuple[pa.Array, np.ndarray]], k: int):
-    """The k best rows of a task for each query, per vector length; the product is made in tiles of CELLS cells at most."""
+def _directions(dim: int, least: float) -> np.ndarray | None:
+    """Random orthonormal directions, as many as keep about all but one in 4,000 pairs of random vectors from seeming to have a cosine of ``least``; none if that takes all dimensions.
+
+    With a share f of the dimensions, such a pair's bound is 1 - f (the rests) and a product of standard deviation sqrt(f / dim): 3.5 of these are to end at ``least``.
+    """
+    edge = 3.5 / math.sqrt(dim)
+    share = ((edge + math.sqrt(edge**2 + 4 * max(0.0, 1 - least))) / 2) ** 2
+    return np.linalg.qr(np.random.default_rng((7, dim)).standard_normal((dim, math.ceil(dim * share))))[0] if dim * share < dim - 1 else None
+
+
+def _sketch(x: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """Of unit vectors the coordinates in the directions and the length of the rest: the product of two sketches is at least that of the vectors (Cauchy-Schwarz)."""
+    near = x @ directions
+    return np.hstack([near, np.sqrt(np.maximum(0.0, 1 - np.square(near).sum(axis=1, keepdims=True)))]).astype(np.float32)
+
+
+def _reaching(a: np.ndarray, x: np.ndarray, edge: np.ndarray, sketches: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, score) of the rows j of ``x`` that reach the edge of row i of ``a``.
+
+    With sketches only pairs whose bound reaches the edge are scored, unless these are too many to gather within CELLS cells.
+    """
+    if sketches is not None:
+        slack = np.finfo(np.float32).eps * (sketches[0].shape[1] + 8)  # above the rounding errors of the bound and the score
+        at = np.flatnonzero(sketches[0] @ sketches[1].T >= (edge - slack).astype(np.float32)[:, None])
+        if len(at) * a.shape[1] <= CELLS:
+            i, j = np.divmod(at, len(x))
+            s = np.round(np.einsum("ij,ij->i", a[i], x[j]), 9) + 0.0
+            ok = s >= edge[i]
+            return i[ok], j[ok], s[ok]
+    s = np.round(a @ x.T, 9) + 0.0  # no negative zero
+    i, j = np.nonzero(s >= edge[:, None])
+    return i, j, s[i, j]
+
+
+def _best(queries: dict[int, tuple[pa.Array, np.ndarray]], k: int, least: float = -math.inf):
+    """The k best rows of a task for each query, of those with ``least`` or more, per vector length; the product is made in tiles of CELLS cells at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {dim: Running(len(ids), k) for dim, (ids, _) in queries.items()}
+        best = {dim: Running(len(ids), k, least) for dim, (ids, _) in queries.items()}
+        directions = {dim: _directions(dim, least) for dim in queries}
+        sketches = {dim: _sketch(queries[dim][1], d) for dim, d in directions.items() if d is not None}
         kind = None
         for batch in batches:
             dims = batch.column("dim").to_numpy()
@@ -44,20 +80,21 @@ def _best(queries: dict[int, tuple[pa.Array, np.ndarray]], k: int):
                 matrix, own = queries[dim][1], batch.filter(pa.array(dims == dim))
                 ids, flat, held = own.column("id").to_numpy(zero_copy_only=False), own.column("v").flatten().to_numpy().reshape(-1, dim), best[dim]
                 for low in range(0, len(ids), 1024):
-                    x = _unit(flat[low : low + 1024]).T
-                    step = max(1, CELLS // x.shape[1])
+                    x = _unit(flat[low : low + 1024])
+                    rough = _sketch(x, directions[dim]) if dim in sketches else None
+                    step = max(1, CELLS // len(x))
                     for lo in range(0, len(matrix), step):
-                        s = np.round(matrix[lo : lo + step] @ x, 9) + 0.0  # no negative zero
-                        i, j = np.nonzero(s >= held.edge[lo : lo + step, None])
-                        held.add(i + lo, s[i, j], ids[low + j])
+                        part = slice(lo, lo + step)
+                        i, j, s = _reaching(matrix[part], x, held.edge[part], None if rough is None else (sketches[dim][part], rough))
+                        held.add(i + lo, s, ids[low + j])
         for dim, held in best.items():
             yield from held.batches(queries[dim][0], kind)
 
     return run
 
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id", vector_col: str = "vector", itself: bool = False) -> DataFrame:
-    """(query_id, id, score, rank): the k most similar rows of ``corpus`` for each query, ties by id.
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id", vector_col: str = "vector", itself: bool = False, least: float = -math.inf) -> DataFrame:
+    """(query_id, id, score, rank): the k most similar rows of ``corpus`` with ``least`` or more for each query, ties by id.
 
     The queries go to the tasks in parts of QUERY_BYTES at most; the corpus meets a part in tiles of one matrix
     product each, and a task puts out a query's best once, so what is shuffled is k rows per query and task. Vectors of another
@@ -76,7 +113,7 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "
         for dim in np.unique(sizes).tolist():
             t = own.filter(pa.array(sizes == dim)).combine_chunks()
             held[dim] = t.column("id").combine_chunks(), _unit(t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim))
-        hits = rows.mapInArrow(_best(held, kept), schema)
+        hits = rows.mapInArrow(_best(held, kept, least), schema)
         found = hits if found is None else found.union(hits)
     if not itself:
         found = found.where(F.col("query_id") != F.col("id"))
@@ -121,17 +158,10 @@ def lsh_candidates(queries: DataFrame, corpus: DataFrame, distance: float, recal
     return q.join(c, ["key", "dim"]).select("query_id", "id").distinct()
 
 
-def lsh_topk(queries: DataFrame, corpus: DataFrame, k: int, distance: float, query_id: str = "query_id", id_col: str = "id", vector_col: str = "vector", tables: int = 48, recall: float = 0.95) -> DataFrame:
-    """The approximate alternative: (query_id, id, score, rank) of the k most similar rows within ``distance`` (of unit vectors).
+def lsh_topk(queries: DataFrame, corpus: DataFrame, k: int, distance: float, query_id: str = "query_id", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """(query_id, id, score, rank) of the k most similar rows within ``distance`` (of unit vectors), all of them: none is missed.
 
-    Signs of random projections are the keys of at most ``tables`` tables, with as many bits as the wanted recall at that
-    distance allows, so the nearer the wanted rows are, the fewer pairs are met. A row within the distance
-    is met with probability ``recall`` at least; exact scores decide among those met. ``cosine_topk`` is the exact way. Ids must be unique.
+    Random projections, with the length of what they leave out, bound each pair's score from above, and only pairs that could be
+    within the distance are scored; the nearer the wanted rows, the shorter the projections. Pairs stay within the task that reads the row, as in ``cosine_topk``.
     """
-    q = materialize(_valid(queries, query_id, vector_col).withColumn("dim", F.size("v")))
-    c = _valid(corpus, id_col, vector_col).withColumn("dim", F.size("v"))
-    met = lsh_candidates(q, c, distance, recall, tables).where("query_id <> id")
-    both = met.join(q.select(F.col("id").alias("query_id"), F.col("v").alias("a")), "query_id").join(c.select("id", F.col("v").alias("b")), "id")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, r: p * r), F.lit(0.0), lambda s, z: s + z)
-    scored = both.select("query_id", "id", F.round(dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b")), 9).alias("score"))
-    return top(scored.where(F.col("score") >= 1 - distance**2 / 2), ["query_id"], [F.desc("score"), F.asc("id")], k)
+    return cosine_topk(queries, corpus, k, query_id, id_col, vector_col, least=1 - distance**2 / 2)

@@ -14,15 +14,15 @@ OUT = 100_000
 
 
 class Running:
-    """Keeps k hits of each of ``n`` queries: the highest scores, equal ones by id (numbers by size, strings by code point).
+    """Keeps k hits of each of ``n`` queries: the highest scores from ``least`` on, equal ones by id (numbers by size, strings by code point).
 
     A hit below a query's k-th score so far is dropped at once, the others are gathered and cut back to
     k a query whenever they are twice as many, so memory and output are bounded by n * k, whatever is read.
     """
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, least: float = -np.inf):
         self.n, self.k = n, k
-        self.edge = np.full(n, -np.inf)
+        self.edge = np.full(n, least)
         self._q, self._s, self._id = [], [], []
         self._held = 0
 

@@ -160,7 +160,7 @@ def lsh_topk(spark, d):
     """Neighbours with a cosine of 0.8 or more; queries are the ids whose hash is divisible by 20."""
     v = latest(table(spark, d, "index_records").select("id", "values", "upserted_at"), "id", ["upserted_at", "values"]).where(F.size("values") == 96).select("id", F.col("values").alias("vector"))
     asked_ = v.where(F.conv(F.substring(F.md5("id"), 1, 4), 16, 10).cast("int") % 20 == 0).withColumnRenamed("id", "query_id")
-    out = dense.lsh_topk(asked_, v, 10, math.sqrt(0.4), recall=0.99)
+    out = dense.lsh_topk(asked_, v, 10, math.sqrt(0.4))
     return out.select("query_id", "id", _r("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
